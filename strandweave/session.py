@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,17 +15,39 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a local folder is made only for a local master without one."""
     sc = spark.sparkContext
-    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there, so that it survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read from there, so that it survives lost executors.
+
+    A table, not ``checkpoint()``: that computes the last stage twice, and in loops it keeps the constraints of all
+    earlier plans, which the optimizer then multiplies. The table goes with ``release`` or with the session's JVM.
+    """
+    spark = df.sparkSession
+    name = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    fs, path = _path(spark, name)
+    fs.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(name)
+    out._cut_name = name
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a frame of ``cut_lineage`` that nothing reads any more."""
+    name = getattr(df, "_cut_name", None)
+    if name:
+        fs, path = _path(df.sparkSession, name)
+        fs.delete(path, True)
