@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import groups, leaks, quantiles, tokens
+from strandweave.llm import groups, leaks, quantiles, tokens, truncation
 from strandweave.session import cut_lineage, read_table
 
 
@@ -118,9 +118,17 @@ def p7_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated_texts(read_table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_by_source(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_group_sizes, p3_found, p3_percentiles, p3_daily_merge, p6_ids, p6_round_trip, p7_found, p7_suites)
+    for f in (p2_found, p2_group_sizes, p3_found, p3_percentiles, p3_daily_merge, p6_ids, p6_round_trip, p7_found, p7_suites, p8_found, p8_sources)
 }
 
 _COUNTING = """v AS (SELECT row_id, chr, upper(trim(context)) AS context, coverage, methlevel FROM methratio
