@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandweave.plans import problems
+from strandweave.plans import methylation, problems
 
-MODULES = (problems,)
-FLAGSHIP = "p1_found"
+MODULES = (problems, methylation)
+FLAGSHIP = "pair_tests"
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
