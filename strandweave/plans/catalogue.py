@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandweave.plans import methylation, problems
+from strandweave.plans import alignments, haplotypes, methylation, problems
 
-MODULES = (problems, methylation)
+MODULES = (problems, methylation, alignments, haplotypes)
 FLAGSHIP = "pair_tests"
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}

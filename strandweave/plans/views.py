@@ -82,14 +82,15 @@ SITES = """sites AS (SELECT * EXCLUDE (loaded_at, row_id) FROM (SELECT CASE WHEN
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragment calls, one per fragment and variant: frag_id, varid, allele (0 or 1) and qv. Equal repeats keep the best
-    quality; contradicting ones are dropped."""
+    """Calls of local fragments (not of distant mates) at known variants, one per fragment and variant: frag_id, varid,
+    allele (0 or 1) and qv. Equal repeats keep the best quality; contradicting ones are dropped."""
     rows = (
         read_table(spark, sf_dir, "hapfragments")
-        .filter(F.col("frag_id").isNotNull())
+        .filter(F.col("frag_id").isNotNull() & (F.col("dtype") != 1))
         .select("frag_id", F.explode("alist").alias("c"))
         .filter(F.col("c.allele").isin("0", "1") & F.col("c.varid").isNotNull() & F.col("c.qv").isNotNull())
         .select("frag_id", "c.varid", F.col("c.allele").cast("int").alias("allele"), "c.qv")
+        .join(read_table(spark, sf_dir, "readvariant").select("varid"), "varid", "left_semi")
     )
     return (
         rows.groupBy("frag_id", "varid")
@@ -100,5 +101,5 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FRAGMENT_CALLS = """calls AS (SELECT frag_id, c.varid AS varid, min(c.allele::INT) AS allele, max(c.qv) AS qv
-  FROM (SELECT frag_id, unnest(alist) AS c FROM hapfragments WHERE frag_id IS NOT NULL)
-  WHERE c.allele IN ('0', '1') AND c.varid IS NOT NULL AND c.qv IS NOT NULL GROUP BY frag_id, c.varid HAVING min(c.allele) = max(c.allele))"""
+  FROM (SELECT frag_id, unnest(alist) AS c FROM hapfragments WHERE frag_id IS NOT NULL AND dtype <> 1)
+  WHERE c.varid IN (SELECT varid FROM readvariant) AND c.allele IN ('0', '1') AND c.varid IS NOT NULL AND c.qv IS NOT NULL GROUP BY frag_id, c.varid HAVING min(c.allele) = max(c.allele))"""
