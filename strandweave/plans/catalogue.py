@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandweave.plans import alignments, haplotypes, methylation, problems
+from strandweave.plans import alignments, formats, haplotypes, methylation, problems
 
-MODULES = (problems, methylation, alignments, haplotypes)
+MODULES = (problems, methylation, alignments, haplotypes, formats)
 FLAGSHIP = "pair_tests"
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
