@@ -8,8 +8,8 @@ blocks of 16 bits at least one block agrees, so a lookup by block misses none. C
 by the exact similarity of their windows, weighted by the length of words, and then by an alignment that follows the
 passage from there in both directions.
 
-Scale: the documents are scanned once per block of items, without a shuffle. The items' index is broadcast, and its size
-is checked: items are taken in blocks of at most ``BLOCK_WORDS`` words, so that any number of items works.
+Scale: the documents are scanned once, without a shuffle, against an index of the items' windows that is broadcast; its
+size is checked first (``INDEX_WORDS`` words, some 30 MB). Beyond that, windows of both sides meet in a shuffle by block.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ APART = 9
 SLACK = 2  # marks such as "&" count as words for an author but not here
 RADIUS = 3
 SIMILARITY = 0.8
-BLOCK_WORDS = 200_000
+INDEX_WORDS = 500_000
 CACHE_WORDS = 1_000_000
 
 _HEADER = re.compile(r"(?m)^[^\w\n]*[a-z]{1,4}[-\u2010-\u2015 ]?[0-9]+/[0-9]+[^\w\n]+(?:page|seite|p\.|s\.) *[0-9]+[^\w\n]*$")
@@ -202,32 +202,70 @@ def _passages(index: ItemIndex, doc: np.ndarray, hits: list[tuple[int, int]]) ->
 
 
 def leaked_passages(
-    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS
+    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", index_words: int = INDEX_WORDS
 ) -> DataFrame:
     """``item_id`` and ``doc_id`` of every document that holds at least ``LEAST`` words of an item in one stretch.
 
-    Null and empty texts on either side match nothing; items shorter than a window match nothing. Repeated rows give
-    repeated pairs only once per row. Only the named columns are read.
+    Null and empty texts on either side match nothing; items shorter than a window match nothing. Ids have no repeats;
+    rows with a null id match nothing. Only the named columns are read.
     """
-    out = "item_id long, doc_id long"
-    spark = documents.sparkSession
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for row in items.select(F.col(item_id).cast("long"), text).filter(F.col(text).isNotNull()).toLocalIterator():
-        n = len(row[1].split())
-        if blocks[-1] and size + n > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], row[1]))
-        size += n
-    found = None
-    for part in blocks:
-        index = spark.sparkContext.broadcast(part)
-        one = documents.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).filter(
-            F.col("_text").isNotNull()
-        ).mapInArrow(_scan(index), out)
-        found = one if found is None else found.unionAll(one)
-    return found
+    pick = lambda df, c: df.select(F.col(c).cast("long").alias("_id"), F.col(text).alias("_text")).filter(
+        F.col("_id").isNotNull() & F.col("_text").isNotNull()
+    )
+    docs, known = pick(documents, doc_id), pick(items, item_id)
+    words = known.agg(F.sum(F.size(F.split("_text", r"\s+")))).first()[0] or 0
+    if words > index_words:
+        return _by_join(docs, known)
+    index = documents.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in known.collect()])
+    return docs.mapInArrow(_scan(index), "item_id long, doc_id long")
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to one row for each window and block of its fingerprint."""
+    hasher = Hasher()
+    for whole in batches:
+        for i in range(0, whole.num_rows, 64):
+            b = whole.slice(i, 64)
+            ids, places, fps = [], [], []
+            for own, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                fp = simhash(hasher(words_of(t)))
+                ids.append(np.full(len(fp), own, np.int64))
+                places.append(np.arange(len(fp), dtype=np.int32))
+                fps.append(fp)
+            own, place, fp = np.concatenate(ids), np.concatenate(places), np.concatenate(fps)
+            for block in range(RADIUS + 1):
+                key = ItemIndex.block(fp, block) * (RADIUS + 1) + block
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own), pa.array(place), pa.array(fp.view(np.int64)), pa.array(key)], names=["_own", "_place", "_fp", "_key"]
+                )
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item id, item text, document id, document text, places of close windows in both) to the pairs that hold."""
+    schema = pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64())])
+    hasher = Hasher()
+    for b in batches:
+        pairs = []
+        for item, theirs, doc, mine, hits in zip(*(b.column(k).to_pylist() for k in range(5))):
+            index = ItemIndex([(item, theirs)])
+            if _passages(index, hasher(words_of(mine)), sorted((h["at"], h["place"]) for h in hits)):
+                pairs.append((item, doc))
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=schema)
+
+
+def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same for items of any number: windows of both sides meet in a shuffle by block of their fingerprints. A pair
+    of texts has at most one row per window of the item in ``hits``."""
+    form = "_own long, _place int, _fp long, _key int"
+    mine = docs.mapInArrow(_windows, form).select(F.col("_own").alias("doc"), F.col("_place").alias("at"), F.col("_fp").alias("dfp"), F.col("_key").alias("dkey"))
+    theirs = items.mapInArrow(_windows, form).select(F.col("_own").alias("item"), "_place", F.col("_fp").alias("ifp"), F.col("_key").alias("ikey"))
+    close = mine.join(theirs, F.col("dkey") == F.col("ikey")).filter(F.bit_count(F.col("dfp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
+    first = close.groupBy("item", "doc", "_place", (F.col("at") - F.col("_place")).alias("shift")).agg(F.min("at").alias("at"))
+    hits = first.groupBy("item", "doc").agg(F.collect_list(F.struct("at", F.col("_place").alias("place"))).alias("hits"))
+    both = hits.join(items.select(F.col("_id").alias("item"), F.col("_text").alias("theirs")), "item")
+    both = both.join(docs.select(F.col("_id").alias("doc"), F.col("_text").alias("mine")), "doc")
+    return both.select("item", "theirs", "doc", "mine", "hits").mapInArrow(_verify, "item_id long, doc_id long")
 
 
 def _scan(items):

@@ -48,15 +48,16 @@ def test_cases_and_near_misses(spark):
         14: " ".join(item[:30]) * 1 + " " + "long " * 20000,
         15: put(item[:10]) + put(item[10:20]),  # not in one stretch
     }
-    got = found(spark, docs, {1: " ".join(item), 2: " ".join(other), 3: None, 4: "", 5: "few words"})
-    assert got == {(1, d) for d in (1, 3, 4, 5, 8, 9, 13, 14)} | {(2, 13)}
+    items = {1: " ".join(item), 2: " ".join(other), 3: None, 4: "", 5: "few words"}
+    got = found(spark, docs, items)
+    assert found(spark, docs, items, index_words=0) == got == {(1, d) for d in (1, 3, 4, 5, 8, 9, 13, 14)} | {(2, 13)}
 
 
-def test_items_in_blocks_give_the_same(spark):
+def test_the_join_gives_the_same_as_the_index(spark):
     rnd = random.Random(5)
     items = {i: " ".join(sentence(rnd, 40)) for i in range(6)}
     docs = {i: " ".join(sentence(rnd, 30)) + " " + items[i % 6] for i in range(12)}
-    assert found(spark, docs, items, block_words=90) == found(spark, docs, items) == {(i % 6, i) for i in range(12)}
+    assert found(spark, docs, items, index_words=1) == found(spark, docs, items) == {(i % 6, i) for i in range(12)}
 
 
 def test_empty_tables(spark):
