@@ -7,10 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.operators.rangejoin import bin_join
+from strandweave.operators.rangejoin import bin_join, previous, running_total
 
 _SMALL = [math.lgamma(i + 1) for i in range(64)]
 TIE = 1e-7
+CHAIN_BIN = 1 << 18
 
 
 def next_site_pairs(sites: DataFrame, bin_width: int = 1 << 18) -> DataFrame:
@@ -98,10 +99,11 @@ def allele_specific_regions(
     share, ratio = dominance(counts)
     total = sum(counts[1:], counts[0])
     kept = pairs.filter((F.round("p", 6) <= most_p) & (share >= weight) & (ratio <= fold) & total.between(*depth))
-    w = Window.partitionBy("chrom", "strand").orderBy("c1")
-    flagged = kept.withColumn("_new", F.when(F.lag("c2").over(w) == F.col("c1"), 0).otherwise(1))
+    keys = ["chrom", "strand"]
+    follows = previous(kept, keys, "c1", "c2", "_prev", CHAIN_BIN)
+    new = F.when(F.col("_prev") == F.col("c1"), 0).otherwise(1)
     return (
-        flagged.withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        running_total(follows, keys, "c1", new, "_chain", CHAIN_BIN)
         .groupBy("chrom", "strand", "_chain")
         .agg(F.min("c1").alias("start_pos"), F.max("c2").alias("end_pos"), (F.count("*") + 1).alias("n_sites"))
         .filter(F.col("n_sites") >= sites)

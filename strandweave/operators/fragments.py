@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.operators.rangejoin import runs
+from strandweave.operators.rangejoin import previous, running_total, runs
 from strandweave.session import cut_lineage, release
 
 LEAST_QV = 6
+CHUNK = 1 << 16
 
 
 def merge_mates(rows: DataFrame) -> DataFrame:
@@ -142,12 +143,11 @@ def support(calls: DataFrame, haplotype: DataFrame) -> DataFrame:
 def chain_phase(calls: DataFrame, blocks: DataFrame) -> DataFrame:
     """A first haplotype, ``varid``, ``block_id`` and ``hap``: along a block each variant follows the one before it, in
     the phase most fragments see between the two (0 where none do or they tie)."""
-    w = Window.partitionBy("block_id").orderBy("varid")
-    order = blocks.withColumn("_prev", F.lag("varid").over(w))
+    order = previous(blocks, ["block_id"], "varid", "varid", "_prev", CHUNK)
     edges = path_edges(calls).select(F.col("a").alias("_prev"), F.col("b").alias("varid"), (F.col("other") > F.col("same")).cast("int").alias("_flip"))
     flips = order.join(edges, ["_prev", "varid"], "left")
-    run = F.sum(F.coalesce("_flip", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return flips.select("varid", "block_id", (run % 2).cast("int").alias("hap"))
+    run = running_total(flips, ["block_id"], "varid", F.coalesce("_flip", F.lit(0)), "_run", CHUNK)
+    return run.select("varid", "block_id", (F.col("_run") % 2).cast("int").alias("hap"))
 
 
 def phase(calls: DataFrame, blocks: DataFrame, rounds: int = 4) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.operators.intervals import attach
+
 BIN = 1000
 
 
@@ -56,13 +58,37 @@ def depth_runs(intervals: DataFrame, keys: Sequence[str], start: str, end: str,
     )
 
 
-def sessions(df: DataFrame, keys: Sequence[str], at: str, gap: Column | int) -> DataFrame:
-    """``df`` with ``session_id``, counted per key from 1: a new one starts where ``at`` is more than ``gap`` after the row before."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    new = F.when(F.col(at) - F.lag(at).over(w) <= gap, 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn(
-        "session_id", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0))
-    ).drop("_new")
+def running_total(df: DataFrame, keys: Sequence[str], at: str, value: Column, name: str, bin_width: int) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` over the rows of the key up to and with this row's ``at``.
+
+    Rows are ordered per bin of ``at`` and the bins of a key on one row each, so a key with most rows is not ordered in
+    one task.
+    """
+    rows = df.withColumn("_bin", F.floor(F.col(at) / bin_width)).withColumn("_v", value)
+    sums = rows.groupBy(*keys, "_bin").agg(F.sum("_v").alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(*keys, "_bin", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    return attach(rows, carry, [*keys, "_bin"]).withColumn(name, F.col("_carry") + F.sum("_v").over(inside)).drop("_bin", "_v", "_carry")
+
+
+def previous(df: DataFrame, keys: Sequence[str], at: str, column: str, name: str, bin_width: int) -> DataFrame:
+    """``df`` with ``name``, the ``column`` (without nulls) of the row before by ``at``; null for the key's first row. Ordered
+    in bins like ``running_total``."""
+    rows = df.withColumn("_bin", F.floor(F.col(at) / bin_width))
+    last = rows.groupBy(*keys, "_bin").agg(F.max_by(column, at).alias("_l"))
+    carry = last.select(*keys, "_bin", F.lag("_l").over(Window.partitionBy(*keys).orderBy("_bin")).alias("_carry"))
+    inside = F.lag(column).over(Window.partitionBy(*keys, "_bin").orderBy(at))
+    return attach(rows, carry, [*keys, "_bin"]).withColumn(name, F.coalesce(inside, F.col("_carry"))).drop("_bin", "_carry")
+
+
+def sessions(df: DataFrame, keys: Sequence[str], at: str, gap: int) -> DataFrame:
+    """``df`` with ``session_id``, counted per key from 1: a new one starts where ``at`` is more than ``gap`` after the row
+    before. Ordered in bins of 64 gaps."""
+    width = 64 * max(1, gap)
+    rows = previous(df, keys, at, at, "_prev", width)
+    new = F.when(F.col(at) - F.col("_prev") <= gap, 0).otherwise(1)
+    return running_total(rows, keys, at, new, "session_id", width).drop("_prev")
 
 
 def runs(df: DataFrame, keys: Sequence[str], at: str, step: int = 1) -> DataFrame:

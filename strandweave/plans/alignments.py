@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandweave.functions import reads as fr
 from strandweave.operators import annotate, intervals, merge, rangejoin
 from strandweave.plans import haplotypes, views
-from strandweave.session import read_table
+from strandweave.session import cut_lineage, read_table
 
 MAPQ = 20
 MOST_INSERT = 1000
@@ -107,7 +107,7 @@ def mate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Molecules of each library: reads of one chromosome with gaps of at most 20 kb."""
     rows = views.reads(spark, sf_dir, []).select("read_id", "chrom", "start_pos", "end_pos", F.substring_index("read_id", ":", 1).alias("barcode"))
-    cut = rangejoin.sessions(rows, ["barcode", "chrom"], "start_pos", MOLECULE_GAP)
+    cut = rangejoin.sessions(cut_lineage(rows), ["barcode", "chrom"], "start_pos", MOLECULE_GAP)
     return cut.groupBy("barcode", "chrom", "session_id").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count("*").alias("n_reads"))
 
 
@@ -165,7 +165,7 @@ def region_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phased variants as blocks of two strands, split by their kind of substitution, merged again by their votes."""
-    hap = haplotypes.chain_phase(spark, sf_dir)
+    hap = cut_lineage(haplotypes.chain_phase(spark, sf_dir))
     v = read_table(spark, sf_dir, "readvariant").select("varid", "chrom", F.col("position").alias("pos"), "ref_allele", F.substring_index("alt_allele", ",", 1).alias("alt"))
     rows = hap.join(v, "varid").filter(F.col("chrom").isNotNull() & F.col("pos").isNotNull())
     minus = F.col("ref_allele").isin("G", "A")
@@ -178,7 +178,7 @@ def merge_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(zero, F.col("alt")).otherwise(F.col("ref_allele")).alias("hap2"),
         F.when(minus, 2).otherwise(1).alias("source"),
     )
-    return merge.merge_strands(links)
+    return merge.merge_strands(cut_lineage(links))
 
 
 QUERIES = {

@@ -105,7 +105,7 @@ def block_n50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chain_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = cut_lineage(views.calls(spark, sf_dir))
-    return fg.chain_phase(calls, fg.spanning_blocks(calls))
+    return fg.chain_phase(calls, cut_lineage(fg.spanning_blocks(calls)))
 
 
 def phase_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

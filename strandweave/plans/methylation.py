@@ -127,7 +127,7 @@ LOOSE = {"most_p": 1.0, "depth": (2, 1000), "sites": 3}  # single-site coverage
 
 
 def asm_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return association.allele_specific_regions(_tested(spark, sf_dir), **LOOSE)
+    return association.allele_specific_regions(cut_lineage(_tested(spark, sf_dir)), **LOOSE)
 
 
 def states_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
