@@ -35,10 +35,16 @@ def next_site_pairs(sites: DataFrame, bin_width: int = 1 << 18) -> DataFrame:
 
 def pair_counts(pairs: DataFrame, calls: DataFrame) -> DataFrame:
     """``mm``, ``mu``, ``um`` and ``uu`` per pair: reads by their state at both sites. ``calls`` has ``read_id``,
-    ``chrom``, ``strand``, ``pos`` and ``methylated``; a read counts where it has a call at both."""
-    left = calls.select("read_id", "chrom", "strand", F.col("pos").alias("c1"), F.col("methylated").alias("m1"))
-    right = calls.select("read_id", "chrom", "strand", F.col("pos").alias("c2"), F.col("methylated").alias("m2"))
-    both = pairs.join(left, ["chrom", "strand", "c1"]).join(right, ["read_id", "chrom", "strand", "c2"])
+    ``chrom``, ``strand``, ``pos`` and ``methylated``, one row per read and position; a read counts where it has a call at
+    both. Each pair is a site with its next one, so a read's calls at sites are taken one after the other: one join."""
+    ends = pairs.select("chrom", "strand", F.col("c1").alias("pos"), "c2").unionByName(
+        pairs.select("chrom", "strand", F.col("c2").alias("pos"), F.lit(None).cast("long").alias("c2"))
+    )
+    sites = ends.groupBy("chrom", "strand", "pos").agg(F.max("c2").alias("c2"))
+    w = Window.partitionBy("read_id").orderBy("pos")
+    seen = calls.select("read_id", "chrom", "strand", "pos", F.col("methylated").alias("m1")).join(sites, ["chrom", "strand", "pos"])
+    both = seen.withColumns({"_at": F.lead("pos").over(w), "m2": F.lead("m1").over(w)}).filter(F.col("_at") == F.col("c2"))
+    both = both.withColumnRenamed("pos", "c1")
     n = lambda a, b: F.count_if((F.col("m1") == a) & (F.col("m2") == b))
     return both.groupBy("chrom", "strand", "c1", "c2").agg(
         n(True, True).alias("mm"), n(True, False).alias("mu"), n(False, True).alias("um"), n(False, False).alias("uu")
