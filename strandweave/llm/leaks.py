@@ -206,8 +206,8 @@ def leaked_passages(
 ) -> DataFrame:
     """``item_id`` and ``doc_id`` of every document that holds at least ``LEAST`` words of an item in one stretch.
 
-    Null and empty texts on either side match nothing; items shorter than a window match nothing. Ids have no repeats;
-    rows with a null id match nothing. Only the named columns are read.
+    Null and empty texts on either side match nothing; items shorter than a window match nothing; rows with a
+    null id match nothing. Each pair comes out once, repeated rows or not. Only the named columns are read.
     """
     pick = lambda df, c: df.select(F.col(c).cast("long").alias("_id"), F.col(text).alias("_text")).filter(
         F.col("_id").isNotNull() & F.col("_text").isNotNull()
@@ -217,7 +217,7 @@ def leaked_passages(
     if words > index_words:
         return _by_join(docs, known)
     index = documents.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in known.collect()])
-    return docs.mapInArrow(_scan(index), "item_id long, doc_id long")
+    return docs.mapInArrow(_scan(index), "item_id long, doc_id long").distinct()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +247,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         pairs = []
         for item, theirs, doc, mine, hits in zip(*(b.column(k).to_pylist() for k in range(5))):
-            index = ItemIndex([(item, theirs)])
-            if _passages(index, hasher(words_of(mine)), sorted((h["at"], h["place"]) for h in hits)):
+            index, doc_words = ItemIndex([(item, theirs)]), hasher(words_of(mine))
+            # under a repeated id, a place may be that of another text
+            near = sorted((h["at"], h["place"]) for h in hits if h["at"] + WINDOW <= len(doc_words) and h["place"] < len(index.fp))
+            if _passages(index, doc_words, near):
                 pairs.append((item, doc))
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=schema)
@@ -265,7 +267,7 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = first.groupBy("item", "doc").agg(F.collect_list(F.struct("at", F.col("_place").alias("place"))).alias("hits"))
     both = hits.join(items.select(F.col("_id").alias("item"), F.col("_text").alias("theirs")), "item")
     both = both.join(docs.select(F.col("_id").alias("doc"), F.col("_text").alias("mine")), "doc")
-    return both.select("item", "theirs", "doc", "mine", "hits").mapInArrow(_verify, "item_id long, doc_id long")
+    return both.select("item", "theirs", "doc", "mine", "hits").mapInArrow(_verify, "item_id long, doc_id long").distinct()
 
 
 def _scan(items):

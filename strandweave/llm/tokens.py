@@ -58,14 +58,14 @@ def word_table(texts: DataFrame, text: str, vocabulary: str = VOCABULARY) -> Dat
 
 
 def _split_batches(frequent: pa.Table, want_ids: bool):
-    """Arrow stage over (id, words): the ids of frequent words with -1 for each other one, or the other words in order."""
+    """Arrow stage over (id, hash, words): the ids of frequent words with -1 for each other one, or the other words in order."""
     words, ids = frequent.column("word").combine_chunks(), frequent.column("ids").combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hole = pa.array([[-1]], ids.type)
         table = pa.concat_arrays([ids, hole])
         for b in batches:
-            lists = b.column(1)
+            lists = b.column(2)
             lists = lists.cast(pa.list_(pa.string())) if lists.type != pa.list_(pa.string()) else lists
             flat, offsets = lists.flatten(), lists.offsets.to_numpy()
             offsets = offsets - offsets[0]
@@ -78,7 +78,7 @@ def _split_batches(frequent: pa.Table, want_ids: bool):
                 missing = pc.is_null(at)
                 ends = np.r_[0, np.cumsum(missing.to_numpy(zero_copy_only=False))]
                 out = pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), flat.filter(missing))
-            yield pa.RecordBatch.from_arrays([b.column(0), out], names=["_id", "_out"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), out], names=["_id", "_h", "_out"])
 
     return run
 
@@ -110,24 +110,26 @@ def _fill_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def encode_corpus(
     texts: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, frequent: int = FREQUENT, longest: int = LONGEST
 ) -> DataFrame:
-    """``key`` (a bigint without repeats) and ``ids`` of every row. Extra columns are not read."""
+    """``key`` (a bigint) and ``ids`` of every row, repeated rows and null keys too. Extra columns are not read."""
     table = cut_lineage(word_table(texts, text, vocabulary))
     total = table.agg(F.sum("n")).first()[0] or 0
     known = (F.col("n") * frequent >= F.lit(total)) & (F.length("word") <= longest)
     few = table.filter(known).select("word", "ids").toArrow()  # at most ``frequent`` rows of bounded length
     few = few.cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))]))
-    words = texts.select(F.col(key).cast("long").alias("_id"), split_words(F.col(text)).alias("_words"))
-    holed = words.mapInArrow(_split_batches(few, True), "_id long, _out array<int>")
-    rare = words.mapInArrow(_split_batches(few, False), "_id long, _out array<string>")
-    rows = rare.select("_id", F.posexplode("_out").alias("_pos", "word"))
+    words = texts.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_h"), split_words(F.col(text)).alias("_words"))
+    holed = words.mapInArrow(_split_batches(few, True), "_id long, _h long, _out array<int>")
+    rare = words.mapInArrow(_split_batches(few, False), "_id long, _h long, _out array<string>")
+    rows = rare.select("_id", "_h", F.posexplode("_out").alias("_pos", "word"))
     others = table.filter(~known).select(F.col("word").alias("_word"), F.col("ids").alias("_ids"))
+    # by key and hash of the text, each position once: repeated rows and repeated or null keys do no harm
     fills = (
         rows.join(others, F.col("word") == F.col("_word"))
-        .groupBy("_id")
-        .agg(F.sort_array(F.collect_list(F.struct("_pos", "_ids"))).alias("_fills"))
-        .select(F.col("_id").alias("_fid"), F.col("_fills._ids").alias("_fills"))
+        .groupBy("_id", "_h")
+        .agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("_pos", "_ids")))).alias("_fills"))
+        .select(F.col("_id").alias("_fid"), F.col("_h").alias("_fh"), F.col("_fills._ids").alias("_fills"))
     )
-    whole = holed.join(fills, F.col("_id") == F.col("_fid"), "left").select("_id", "_out", "_fills")
+    same = (F.col("_h") == F.col("_fh")) & F.col("_id").eqNullSafe(F.col("_fid"))
+    whole = holed.join(fills, same, "left").select("_id", "_out", "_fills")
     return whole.mapInArrow(_fill_batches, "_id long, ids array<int>").withColumnRenamed("_id", key)
 
 

@@ -88,3 +88,12 @@ def test_simhash_is_the_majority_of_bits():
 @pytest.mark.parametrize("text,words", [("Große Häuser’s", ["grosse", "hausers"]), ("over-\n  lap", ["overlap"]), ("1,5 a/b 2/3", ["1,5", "a", "b", "2/3"]), ("ﬁn café", ["fin", "cafe"])])
 def test_words(text, words):
     assert leaks.words_of(text) == words
+
+
+@pytest.mark.parametrize("index_words", [0, 500_000])
+def test_repeated_and_null_ids(spark, index_words):
+    words = " ".join(sentence(random.Random(7), 40))
+    d = spark.createDataFrame([(1, words), (1, words), (1, "short text"), (None, words), (2, "x " + words)], "doc_id long, text string")
+    e = spark.createDataFrame([(5, words), (5, words), (5, "other item"), (None, words)], "item_id long, text string")
+    got = sorted((r.item_id, r.doc_id) for r in leaks.leaked_passages(d, e, index_words=index_words).collect())
+    assert got == [(5, 1), (5, 2)]

@@ -55,3 +55,11 @@ def test_each_distinct_word_is_encoded_once(spark, reference):
 def test_empty(spark, reference):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.encode_corpus(df, "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("frequent", [1, 1 << 17])
+def test_repeated_and_null_keys(spark, reference, frequent):
+    rows = [(1, "some rare words here"), (1, "some rare words here"), (1, "other words, with 7 more"), (None, "null key words"), (None, None), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.ids) for r in tokens.encode_corpus(df, "doc_id", "text", frequent=frequent).collect())
+    assert got == sorted((str(k), reference(t)) for k, t in rows)
