@@ -43,3 +43,13 @@ def profile(binned: DataFrame, levels: int = LEVELS) -> DataFrame:
 def region_totals(binned: DataFrame) -> DataFrame:
     """Sites per region in its three parts (a pivot over the fixed part names)."""
     return binned.groupBy("region_id").pivot("part", ["up", "body", "down"]).count().na.fill(0)
+
+
+def heatmap(binned: DataFrame, levels: int = LEVELS, columns: int = 10) -> DataFrame:
+    """One row per region: body sites in ``columns`` columns (a pivot over fixed numbers), and ``first_bin``, its first bin
+    with a site."""
+    body = binned.filter("part = 'body'").withColumn("col", F.floor(F.col("bin") * columns / levels).cast("int"))
+    wide = body.groupBy("region_id").pivot("col", list(range(columns))).count().na.fill(0)
+    wide = wide.withColumnsRenamed({str(i): f"b{i}" for i in range(columns)})
+    first = body.groupBy("region_id").agg(F.min("bin").alias("first_bin"))
+    return wide.join(first, "region_id")

@@ -163,6 +163,10 @@ def region_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.region_totals(_binned(spark, sf_dir))
 
 
+def region_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate.heatmap(_binned(spark, sf_dir))
+
+
 def merge_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phased variants as blocks of two strands, split by their kind of substitution, merged again by their votes."""
     hap = cut_lineage(haplotypes.chain_phase(spark, sf_dir))
@@ -185,7 +189,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         read_classes, cigar_lengths, flag_stats, chrom_stats, dedup_reads, read_depth, site_coverage, reads_semi_sites, mate_pairs, molecules,
-        event_sessions, insert_bin_stats, interval_islands, cpg_neighbours, annotation_profile, region_totals, merge_strands,
+        event_sessions, insert_bin_stats, interval_islands, cpg_neighbours, annotation_profile, region_totals,
+        region_heatmap, merge_strands,
     )
 }
 
@@ -249,4 +254,6 @@ SQL = {
       SELECT part, bin, n_sites FROM w WHERE bin > 0""",
     "region_totals": f"""WITH {_BINNED} SELECT region_id, count(*) FILTER (part = 'up') AS up, count(*) FILTER (part = 'body') AS body,
       count(*) FILTER (part = 'down') AS down FROM binned GROUP BY region_id""",
+    "region_heatmap": f"""WITH {_BINNED} SELECT region_id, {', '.join(f"count(*) FILTER (bin // 4 = {i}) AS b{i}" for i in range(10))}, min(bin)::BIGINT AS first_bin
+      FROM binned WHERE part = 'body' GROUP BY region_id""",
 }

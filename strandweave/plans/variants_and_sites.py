@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions import reads as fr
-from strandweave.operators import association, rangejoin
+from strandweave.operators import association, linkage, rangejoin
 from strandweave.operators import sites as st
 from strandweave.plans import haplotypes, views
 from strandweave.session import read_table
@@ -85,10 +85,36 @@ def heterozygous_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("chrom", "strand", "run_id").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count("*").alias("n_sites"), F.sum("mc").alias("mc"), F.sum("cov").alias("cov"))
 
 
+def pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of positions that two reads or more cover with an aligned base."""
+    rows = views.reads(spark, sf_dir, ["cigar", "seq"]).select("chrom", "start_pos", "seq", F.explode(fr.aligned_blocks(F.col("cigar"))).alias("b"))
+    return linkage.pileup(rows.select("chrom", (F.col("start_pos") + F.col("b.ref_at")).alias("s"), F.expr("substring(seq, b.read_at + 1, b.len)").alias("bases")))
+
+
+def variant_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.linkage(views.calls(spark, sf_dir)).withColumn("r2", F.round("r2", 6))
+
+
+def trans_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of distant mates on different haplotypes, per insert-size bin, under the haplotype of the genotype text."""
+    rows = (
+        read_table(spark, sf_dir, "hapfragments")
+        .filter((F.col("dtype") == 1) & (F.col("mate2_ix") >= 0) & F.col("frag_id").isNotNull())
+        .select("frag_id", "mate2_ix", "isize", F.explode("alist").alias("c"))
+        .filter(F.col("c.allele").isin("0", "1") & F.col("c.varid").isNotNull() & F.col("c.qv").isNotNull())
+        .select("frag_id", "isize", (F.col("c.varid") >= F.col("mate2_ix")).alias("second"), "c.varid", F.col("c.allele").cast("int").alias("allele"), "c.qv")
+        .distinct()
+    )
+    return linkage.trans_rates(rows, haplotypes._fixed(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (snp_site_union, mixed_order, segment_ids, snp_state_pairs, mismatch_filter, covered_variants, prune_confidence, heterozygous_cuts)
-}
+    for f in (
+        snp_site_union, mixed_order, segment_ids, snp_state_pairs, mismatch_filter, covered_variants, prune_confidence, heterozygous_cuts,
+        pileup, variant_linkage, trans_rates,
+    )
+}
 
 _HET = "mc >= 2 AND cov >= 6 AND mc / cov >= 0.1 AND mc / cov <= 0.9 AND mc > 2 AND cov - mc > 2"
 _UNION = f"""{views.SITES}, u AS (SELECT chrom, pos, CASE min(k) WHEN 0 THEN 'variant' ELSE 'site' END AS kind FROM
@@ -120,4 +146,13 @@ SQL = {
       r AS (SELECT *, sum(h) OVER (PARTITION BY chrom, strand ORDER BY pos)::BIGINT AS run_id FROM x)
       SELECT chrom, strand, run_id, min(pos) AS start_pos, max(pos) AS end_pos, count(*) AS n_sites, sum(mc)::BIGINT AS mc, sum(cov)::BIGINT AS cov
       FROM r WHERE h = 0 GROUP BY chrom, strand, run_id""",
+    "pileup": f"""WITH {views.CALLS}, sb AS (SELECT read_id, seq FROM reads),
+      b AS (SELECT blk.chrom, start_pos + ref_at AS s, upper(seq[read_at + 1 : read_at + len]) AS bases FROM blk
+          JOIN sb ON sb.read_id = blk.read_id WHERE op = 'M'),
+      c AS (SELECT chrom, s, bases, unnest(range(length(bases))) AS i FROM b), d AS (SELECT chrom, s + i AS pos, bases[i + 1] AS x FROM c)
+      SELECT chrom, pos, count(*) AS depth, count(*) FILTER (x = 'A') AS a, count(*) FILTER (x = 'C') AS c, count(*) FILTER (x = 'G') AS g,
+        count(*) FILTER (x = 'T') AS t FROM d GROUP BY chrom, pos HAVING count(*) >= 2""",
+    "variant_linkage": f"""WITH {views.FRAGMENT_CALLS}, x AS (SELECT varid AS a, lead(varid) OVER w AS b, allele AS x, lead(allele) OVER w AS y FROM calls WINDOW w AS (PARTITION BY frag_id ORDER BY varid)),
+      t AS (SELECT a, b, count(*) AS n, avg(x) AS p, avg(y) AS q, avg(x * y) AS pq FROM x WHERE b IS NOT NULL GROUP BY a, b)
+      SELECT a, b, n, CASE WHEN p * (1 - p) * q * (1 - q) > 1e-12 THEN round((pq - p * q) * (pq - p * q) / (p * (1 - p) * q * (1 - q)), 6) END AS r2 FROM t""",
 }
