@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.operators.intervals import covered_heads
+from strandweave.operators.rangejoin import running_total
 
 METHRATIO = (
     ("chrom", "string"), ("pos", "int"), ("strand", "string"), ("context", "string"), ("c_count", "int"), ("coverage", "int"),
@@ -23,6 +24,7 @@ VCF = (
     ("filter_tag", "string"), ("info", "string"), ("format", "string"), ("sample", "string"),
 )
 SEPARATOR = "********"
+LINES = 1 << 16
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -118,21 +120,10 @@ def fragment_lines(runs: DataFrame) -> DataFrame:
 def parse_blocks(lines: DataFrame) -> DataFrame:
     """Haplotype block files as one row per variant: block (counted from 1), varid, hap1, hap2, chrom, pos, ref, alt, gt,
     mismatch_q. Header and separator lines are left out; the header starts a block."""
-    rows = number_lines(lines)
     head = F.col("value").startswith("BLOCK")
-    starts = rows.filter(head).select(F.col("line_no").alias("_at"))
-    # a line's block is that of the last header before it: headers and lines meet in chunks of lines
-    chunk = 1 << 16
-    marked = rows.withColumn("_c", F.floor(F.col("line_no") / chunk)).withColumn("_h", head.cast("int"))
-    upto = Window.partitionBy("_c").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    per = starts.groupBy(F.floor(F.col("_at") / chunk).alias("_hc")).agg(F.count("*").alias("_n"))
-    chunks = marked.select("_c").distinct().join(per, F.col("_c") == F.col("_hc"), "left")
-    before = chunks.select(
-        F.col("_c").alias("_cc"), F.coalesce(F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
-    )
-    numbered = marked.withColumn("_in", F.sum("_h").over(upto)).join(before, F.col("_c") == F.col("_cc"))
+    numbered = running_total(number_lines(lines), [], "line_no", head.cast("int"), "block", LINES)
     p = F.col("p")
-    rows = numbered.filter(~F.col("value").startswith("BLOCK") & ~F.col("value").startswith("*")).select((F.col("_before") + F.col("_in")).alias("block"), F.split("value", "\t").alias("p"))
+    rows = numbered.filter(~head & ~F.col("value").startswith("*")).select("block", F.split("value", "\t").alias("p"))
     fields = (("varid", "long"), ("hap1", "string"), ("hap2", "string"), ("chrom", "string"), ("pos", "int"), ("ref", "string"), ("alt", "string"), ("gt", "string"))
     return rows.select("block", *_columns(p, fields), F.get(p, F.lit(10)).try_cast("double").alias("mismatch_q"))
 
@@ -186,11 +177,10 @@ def read_fasta(spark: SparkSession, paths: str | list[str], chunk: int = 1 << 16
 
     Lines are numbered and placed by the lengths before them within their record, chunk by chunk.
     """
-    lines = number_lines(spark.read.text(paths))
     head = F.col("value").startswith(">")
-    heads = lines.filter(head).select("line_no", F.regexp_extract("value", r"^>(\S+)", 1).alias("chrom"))
-    spans = heads.withColumn("to_line", F.coalesce(F.lead("line_no").over(Window.orderBy("line_no")), F.lit(1 << 62))).withColumnRenamed("line_no", "from_line")
-    rows = lines.filter(~head).join(F.broadcast(spans), (F.col("line_no") > F.col("from_line")) & (F.col("line_no") < F.col("to_line")))
+    lines = running_total(number_lines(spark.read.text(paths)), [], "line_no", head.cast("int"), "_record", LINES)
+    heads = lines.filter(head).select(F.col("_record").alias("_r"), F.regexp_extract("value", r"^>(\S+)", 1).alias("chrom"))
+    rows = lines.filter(~head).join(heads, F.col("_record") == F.col("_r"))
     rows = rows.select("chrom", F.col("line_no").alias("n"), F.upper(F.trim("value")).alias("s")).withColumn("_c", F.floor(F.col("n") / 4096))
     inside = Window.partitionBy("chrom", "_c").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     per = rows.groupBy("chrom", "_c").agg(F.sum(F.length("s")).alias("_l"))
