@@ -5,8 +5,9 @@ never span a split, so a text's ids are those of its words in order.
 
 Scale: the words of a text are rows only where it pays. A word with at least a ``FREQUENT``-th of all occurrences is
 frequent; there are at most ``FREQUENT`` such words of at most ``LONGEST`` characters, whatever the corpus, so their
-table is broadcast and the ids of their occurrences are looked up column-wise in Arrow. The other occurrences become
-(document, position, word) rows, are joined by word with a shuffle and put back into their positions.
+table is broadcast and the ids of their occurrences are looked up column-wise in Arrow. The other words of a
+text become (document, position, word) rows, each once per text with its place in the text's list of them, are joined by
+word with a shuffle and put back into their positions.
 
 Null, empty and blank texts have defined ids: null and empty ones an empty list, blank ones those of their white space.
 """
@@ -58,50 +59,65 @@ def word_table(texts: DataFrame, text: str, vocabulary: str = VOCABULARY) -> Dat
 
 
 def _split_batches(frequent: pa.Table, want_ids: bool):
-    """Arrow stage over (id, hash, words): the ids of frequent words with -1 for each other one, or the other words in order."""
+    """Arrow stage over (id, hash, words): the ids of frequent words, with ``-1 - k`` for a text's ``k``-th other word; or
+    those other words, each once per text, in the order of their first places."""
     words, ids = frequent.column("word").combine_chunks(), frequent.column("ids").combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hole = pa.array([[-1]], ids.type)
-        table = pa.concat_arrays([ids, hole])
+        table = pa.concat_arrays([ids, pa.array([[0]], ids.type)])
         for b in batches:
             lists = b.column(2)
             lists = lists.cast(pa.list_(pa.string())) if lists.type != pa.list_(pa.string()) else lists
             flat, offsets = lists.flatten(), lists.offsets.to_numpy()
             offsets = offsets - offsets[0]
             at = pc.index_in(flat, value_set=words)
+            missing = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
+            other = flat.take(pa.array(missing))
+            doc = np.searchsorted(offsets, missing, side="right") - 1
+            code = other.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            _, first, of = np.unique(doc.astype(np.int64) << 32 | code, return_index=True, return_inverse=True)
+            order = np.argsort(first, kind="stable")
+            starts = np.searchsorted(doc[first[order]], np.arange(len(lists) + 1))
             if want_ids:
+                rank = np.empty(len(first), np.int64)
+                rank[order] = np.arange(len(first))
                 pieces = table.take(pc.fill_null(at, len(words)))
                 ends = np.r_[0, np.cumsum(pc.list_value_length(pieces).to_numpy())] if len(pieces) else np.zeros(1, np.int64)
-                out = pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pieces.flatten())
+                out = np.array(pieces.flatten().to_numpy(zero_copy_only=False), dtype=np.int32)
+                out[ends[missing]] = -1 - (rank[of] - starts[doc])
+                made = pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(out))
             else:
-                missing = pc.is_null(at)
-                ends = np.r_[0, np.cumsum(missing.to_numpy(zero_copy_only=False))]
-                out = pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), flat.filter(missing))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), out], names=["_id", "_h", "_out"])
+                made = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), other.take(pa.array(first[order])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], names=["_id", "_h", "_out"])
 
     return run
 
 
 def _fill_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, ids with holes, one list of ids per hole) to (id, ids)."""
+    """(id, ids with holes, the ids of each other word) to (id, ids)."""
     for b in batches:
         lists, fills = b.column(1), b.column(2)
         flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
         offsets = offsets - offsets[0]
         pieces = fills.flatten()  # null lists of fills hold nothing
-        size = pc.list_value_length(pieces).to_numpy().astype(np.int64) if len(pieces) else np.zeros(0, np.int64)
-        hole = flat == -1
         width = np.ones(len(flat), np.int64)
-        width[hole] = size
+        hole = np.flatnonzero(flat < 0)
+        values, piece_at, size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(hole):
+            lengths = pc.list_value_length(pieces).to_numpy().astype(np.int64)
+            values, begin = pieces.flatten().to_numpy(), np.r_[0, np.cumsum(lengths)[:-1]]
+            of = pc.fill_null(pc.list_value_length(fills), 0).to_numpy()
+            first = np.r_[0, np.cumsum(of)][np.searchsorted(offsets, hole, side="right") - 1]
+            which = first - 1 - flat[hole]
+            piece_at, size = begin[which], lengths[which]
+            width[hole] = size
         ends = np.r_[0, np.cumsum(width)]
         out = np.empty(ends[-1], np.int32)
-        starts = ends[:-1]
-        out[starts[~hole]] = flat[~hole]
-        if len(pieces):
-            values = pieces.flatten().to_numpy()
-            first = np.r_[0, np.cumsum(size)[:-1]]
-            out[np.repeat(starts[hole] - first, size) + np.arange(len(values))] = values
+        plain = flat >= 0
+        out[ends[:-1][plain]] = flat[plain]
+        if len(hole):
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            out[np.repeat(ends[:-1][hole], size) + step] = values[np.repeat(piece_at, size) + step]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(out))], names=["_id", "ids"]
         )
@@ -116,12 +132,12 @@ def encode_corpus(
     known = (F.col("n") * frequent >= F.lit(total)) & (F.length("word") <= longest)
     few = table.filter(known).select("word", "ids").toArrow()  # at most ``frequent`` rows of bounded length
     few = few.cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))]))
-    words = texts.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_h"), split_words(F.col(text)).alias("_words"))
-    holed = words.mapInArrow(_split_batches(few, True), "_id long, _h long, _out array<int>")
-    rare = words.mapInArrow(_split_batches(few, False), "_id long, _h long, _out array<string>")
+    words = texts.select(F.col(key).cast("long").alias("_id"), F.hash(text).alias("_h"), split_words(F.col(text)).alias("_words"))
+    holed = words.mapInArrow(_split_batches(few, True), "_id long, _h int, _out array<int>")
+    rare = words.mapInArrow(_split_batches(few, False), "_id long, _h int, _out array<string>")
     rows = rare.select("_id", "_h", F.posexplode("_out").alias("_pos", "word"))
     others = table.filter(~known).select(F.col("word").alias("_word"), F.col("ids").alias("_ids"))
-    # by key and hash of the text, each position once: repeated rows and repeated or null keys do no harm
+    # by key and hash of the text, each word once: repeated rows and repeated or null keys do no harm
     fills = (
         rows.join(others, F.col("word") == F.col("_word"))
         .groupBy("_id", "_h")
