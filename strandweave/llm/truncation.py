@@ -1,10 +1,10 @@
 """Texts cut off by a field limit or in transfer.
 
-A text whose last paragraph ends open, without the end of a sentence, is a candidate. The decision comes from a
-self-join by prefix: values cut short are strict prefixes of longer copies elsewhere in the corpus. It is made at three
-levels, each over the whole corpus: the text as a whole against all texts, its last line against all lines, and its last
-word or number against all of them (one that goes on in its line is longer than it is alone). A candidate that is a strict
-prefix at any level is a case, with the highest level as evidence.
+A text whose last paragraph ends open, without the end of a sentence, is a case: this rule decides. A self-join by prefix
+says what speaks for it besides: values cut short are strict prefixes of longer copies elsewhere in the corpus. It is made
+at three levels, each over the whole corpus: the text as a whole against all texts, its last line against all lines, and
+its last word or number against all of them (continued letters or digits). The highest level is the evidence; a case that
+is no strict prefix at any level, as one whose last word was never used again, has the evidence ``ending``.
 
 Prefixes are found by hash: each value has the hashes of its prefixes at the multiples of a step, a candidate only that
 of its longest such prefix; where those meet, the longer value's prefix of exactly the candidate's length is hashed
@@ -22,8 +22,9 @@ from strandweave.session import cut_lineage
 KEYS_BROADCAST = 200_000
 TEXT_STEP = 256
 LINE_STEP = 64
+SHORT_STEPS = (8, 1)  # of lines shorter than LINE_STEP
 WORD_LONGEST = 40
-LEVELS = ("document", "line", "word")
+LEVELS = ("document", "line", "word", "ending")
 _BREAKS = "\r\x0b\x0c\x85\u2028\u2029"
 _BLANK = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 _END = r"[.?!][\s\"\u00bb\u201c\u201d\u2019')\]\u00a0\u202f\p{So}\ufe0f]*$"
@@ -77,16 +78,20 @@ def _exact(value: Column) -> list[Column]:
     return [F.xxhash64(value).alias("h1"), F.hash(value).alias("h2")]
 
 
-def strict_prefixes(candidates: DataFrame, values: DataFrame, step: int, longest: int | None = None) -> DataFrame:
+def strict_prefixes(
+    candidates: DataFrame, values: DataFrame, step: int, longest: int | None = None, short: tuple[int, ...] = ()
+) -> DataFrame:
     """``id`` of the candidates (``id``, ``value``) that are a strict prefix of one of the ``values`` (``value``).
 
-    Candidates shorter than ``step`` are no prefix of anything here. ``longest`` bounds the prefixes of a value.
+    Candidates shorter than ``step`` are compared at the smaller steps ``short``, in falling order; those shorter than all
+    of these are no prefix of anything here. ``longest`` bounds the prefixes of a value.
     """
     n = F.length("value")
-    known = candidates.filter(n >= step).select(
+    steps = (step, *short)
+    known = candidates.filter(n >= steps[-1]).select(
         "id",
         n.alias("n"),
-        (F.floor(n / step) * step).cast("int").alias("g"),
+        F.coalesce(*[F.when(n >= x, F.floor(n / x) * x) for x in steps]).cast("int").alias("g"),
         "value",
     )
     known = known.select("id", "n", "g", F.xxhash64(F.expr("substring(value, 1, g)")).alias("h"), *_exact(F.col("value")))
@@ -94,7 +99,9 @@ def strict_prefixes(candidates: DataFrame, values: DataFrame, step: int, longest
     keys = known.select("n", "g", "h", "h1", "h2").distinct()
     small = known.count() <= KEYS_BROADCAST
     top = F.length("value") if longest is None else F.least(F.length("value"), F.lit(longest))
-    points = F.when(F.length("value") >= step, F.sequence(F.lit(step), top, F.lit(step)))
+    upto = (top, *[F.least(top, F.lit(x - 1)) for x in steps])
+    points = [F.when(n >= x, F.sequence(F.lit(x), t, F.lit(x))) for x, t in zip(steps, upto)]
+    points = points[0] if not short else F.concat(*[F.coalesce(x, F.array().cast("array<int>")) for x in points])
     grid = values.select("value", F.explode(points).alias("vg"))
     grid = grid.withColumn("vh", F.xxhash64(F.expr("substring(value, 1, vg)")))
     met = grid.join(F.broadcast(keys) if small else keys, (F.col("vg") == F.col("g")) & (F.col("vh") == F.col("h")))
@@ -105,20 +112,18 @@ def strict_prefixes(candidates: DataFrame, values: DataFrame, step: int, longest
 
 
 def truncated_texts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``evidence`` (``document``, ``line`` or ``word``) of the texts that were cut off. Copies are
+    """``key`` and ``evidence`` (``document``, ``line``, ``word`` or ``ending``) of the texts that were cut off. Copies are
     each reported, repeated rows of a key once; extra columns are not read."""
     tails = cut_lineage(open_tails(texts, key, text))
     whole = _unmarked(texts.select(_broken(F.col(text)).alias("value")))
     lines = whole.select(F.explode(F.split("value", "\n")).alias("line"))
     lines = _unmarked(lines.select(F.regexp_replace("line", _NUMBER, "").alias("value")))
-    words = texts.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?:\p{L}++|\p{N}++)[^\r\n]?"), F.lit(0))).alias("value")).distinct()
-    levels = (("whole", whole, TEXT_STEP, None), ("line", lines, LINE_STEP, None), ("word", words, 1, WORD_LONGEST))
-    found = None
-    for rank, (column, values, step, longest) in enumerate(levels):
-        one = strict_prefixes(tails.select("id", F.col(column).alias("value")), values, step, longest).select(
-            "id", F.lit(rank).alias("rank")
-        )
-        found = one if found is None else found.unionAll(one)
+    words = texts.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}++|\p{N}++"), F.lit(0))).alias("value")).distinct()
+    levels = (("whole", whole, TEXT_STEP, None, ()), ("line", lines, LINE_STEP, None, SHORT_STEPS), ("word", words, 1, WORD_LONGEST, ()))
+    found = tails.select("id", F.lit(len(levels)).alias("rank"))
+    for rank, (column, values, step, longest, short) in enumerate(levels):
+        one = strict_prefixes(tails.select("id", F.col(column).alias("value")), values, step, longest, short)
+        found = found.unionAll(one.select("id", F.lit(rank).alias("rank")))
     names = F.array(*[F.lit(x) for x in LEVELS])
     return found.groupBy("id").agg(F.get(names, F.min("rank")).alias("evidence")).withColumnRenamed("id", key)
 

@@ -69,3 +69,24 @@ def test_repeated_and_null_keys(spark):
     text = "1. The first claim was heard, and the second claim was dis"
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text + "missed.")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in t.truncated_texts(df).collect()) == ["1", "None"]
+
+
+def test_an_open_end_decides_and_a_prefix_is_evidence_only(spark):
+    rows = [
+        (1, "1. The claim was heard. So far as Tastasal"),  # a last word that is nowhere else
+        (2, "1. The cat sat on the lease. It bound a cat"),  # used elsewhere, but nowhere continued
+        (3, "1. Heard by the boa"),
+        (4, "1. Heard by the board of the town. The board sat."),
+        (5, "1. The claim was seen by the gua"),
+        (6, "1. The guarantee was withdrawn."),
+    ]
+    got = {r.doc_id: r.evidence for r in t.truncated_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "ending", 2: "ending", 3: "line", 5: "word"}
+
+
+def test_short_prefixes_against_brute_force(spark):
+    values = ["ab", "abc", "abcdefghij", "abcdefghijklmnopqrs", "abcdefghijklmnopqrstuvwxyz", "b", "", None]
+    v = spark.createDataFrame([(x,) for x in values], "value string")
+    c = spark.createDataFrame(list(enumerate([*values, "a", "abcdefgh", "abcdefghijk", "abcdefghijklmnop", "zz"])), "id int, value string")
+    got = {r.id for r in t.strict_prefixes(c, v, 16, None, (8, 1)).collect()}
+    assert got == {r.id for r in c.collect() if r.value and any(x and x != r.value and x.startswith(r.value) for x in values)}
