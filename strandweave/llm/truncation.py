@@ -32,10 +32,18 @@ _MARK = r"(?:\u2026|(?<![.\]])\.\.\.|\ufffd+)$"
 _WITHHELD = r"(?:^|[^\p{L}])\p{Lu}\.\.\.$"
 _SHORTENED = r"(?:(?:^|[\s(])(?:para|paras|Rn|Abs|consid|vgl|Nr|Art|al)\.|\u00a7)$"
 _NUMBER = r"^[^\p{L}\p{N}]{0,3}(?:\p{L}{1,4}\.\s?)?[0-9]{1,4}[\])]?[.:]?\s+"
+_PARAGRAPH = _NUMBER + r".*\p{L}"
+# Closing lines, which follow the last paragraph and may end open.
+_CLOSING = (
+    r"[ \t\u00a0]*(?:[*][* ]*$|-\s.*\s-$|(?:Page|Seite)\s[0-9]+\s(?:of|von|sur)\s[0-9]+$|\((?:[Ss]igned|sign\S{1,2})\)\s|gez\.\s|Registrar of\s|Certified copy\b|"
+    r"(?:Annexe?|Anlage):|Ausgefertigt:|Done at\s|Ainsi jug\S{1,2} .\s|\S+, den [0-9]{1,2}\.\s|(?:The operative part reads|Der Tenor lautet|Le dispositif porte)\s?:)"
+)
+_WRAPPED = r"[\p{Ll},\-][ \t]*\n[ \t]*\p{Ll}"
 
 
 def _broken(text: Column) -> Column:
     """Line ends as line feeds; texts without other ones are not touched."""
+    text = F.when(text.contains("\r\n"), F.replace(text, F.lit("\r\n"), F.lit("\n"))).otherwise(text)
     has = F.lit(False)
     for c in _BREAKS:
         has = has | text.contains(c)
@@ -56,24 +64,66 @@ def _unmarked(values: DataFrame) -> DataFrame:
     return bare.select(F.when(marked, unmarked).otherwise(F.col("bare")).alias("value"))
 
 
-def open_tails(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Candidates: ``id``, ``whole``, ``line`` (the last line without its number) and ``word`` (the last word) of the
-    texts whose last line is a numbered paragraph that ends open. Marks of a cut ("...", broken characters) are taken off.
-    Null, empty and blank texts are none."""
+def _ends_open(line: Column) -> Column:
+    return ~line.rlike(_END) | line.rlike(_MARK) | line.rlike(_SHORTENED) | line.rlike(_WITHHELD)
+
+
+def _without_closing(rows: DataFrame) -> DataFrame:
+    """``whole`` without its closing lines, ``closed`` (it has some) and ``last``, the last line of the rest."""
+    last = lambda: F.substring_index("whole", "\n", -1)
+    bare = F.rtrim(F.regexp_replace("whole", r"(?:^|\n)" + f"(?m:{_CLOSING}).*+" + r"(?:\s*+\n" + f"(?m:{_CLOSING}).*+)*" + r"\s*\z", ""), F.lit(_BLANK))
+    rows = rows.select("id", "whole", last().rlike("^" + _CLOSING).alias("closed"))
+    rows = rows.select("id", F.when(F.col("closed"), bare).otherwise(F.col("whole")).alias("whole"), "closed")
+    return rows.select("id", "whole", "closed", last().alias("last"))
+
+
+def _joined(lines: Column) -> Column:
+    """Wrapped lines as one, divided words joined."""
+    lines = F.transform(lines, lambda x: F.trim(x, F.lit(_BLANK)))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"(?<=\p{L})-\n(?=\p{Ll})", ""), r"\n", " ")
+
+
+def _paragraph() -> Column:
+    """The last paragraph over wrapped lines: from the last line with a paragraph number to the end of the text, without an
+    empty line in between; null where there is none or nothing shows that its lines are wrapped. Known closing lines
+    (page numbers) inside it are left out."""
+    block = F.substring_index(F.regexp_replace("whole", r"\n[^\S\n]+\n", "\n\n"), "\n\n", -1)
+    lines = F.filter(F.split(block, "\n"), lambda x: ~x.rlike("^" + _CLOSING))
+    start = F.array_max(F.transform(lines, lambda x, i: F.when(x.rlike(_PARAGRAPH), i)))
+    paragraph = F.slice(lines, start + 1, F.size(lines))
+    broken = F.exists(F.slice(paragraph, F.lit(1), F.size(paragraph) - 1), lambda x: ~F.rtrim(x, F.lit(_BLANK)).rlike(_END))
+    return F.when(broken | F.col("whole").rlike(_WRAPPED), _joined(paragraph))
+
+
+def last_paragraphs(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``id``, ``whole``, ``line``, ``word`` and ``closed`` of the texts whose last paragraph ends open: those followed by closing
+    lines (``closed``) are complete, the others are candidates. See ``open_tails``."""
     rows = texts.select(F.col(key).alias("id"), _broken(F.col(text)).alias("whole")).select("id", _trimmed("whole").alias("whole"))
-    rows = rows.select("id", "whole", F.substring_index("whole", "\n", -1).alias("last"))
+    rows = _without_closing(rows)
     marked = F.col("last").rlike(_MARK) & ~F.col("last").rlike(_WITHHELD)
-    ends_open = ~F.col("last").rlike(_END) | marked | F.col("last").rlike(_SHORTENED) | F.col("last").rlike(_WITHHELD)
-    case = F.when(F.col("last").rlike(_NUMBER + r".*\p{L}") & ends_open, F.array(marked))
+    line = F.when(F.col("last").rlike(_PARAGRAPH), F.col("last")).otherwise(_paragraph())
+    case = F.when(_ends_open(F.col("last")), F.array(F.struct(marked.alias("marked"), line.alias("line"))))
     # exploded, not filtered: a filter would be pushed below the columns it reads and compute them once for each use
+    unmarked = lambda c: F.when(F.col("marked"), F.rtrim(F.regexp_replace(c, _MARK, ""), F.lit(_BLANK))).otherwise(F.col(c))
     return (
-        rows.select("id", "whole", F.explode(case).alias("marked"))
-        .withColumn("whole", F.when(F.col("marked"), F.rtrim(F.regexp_replace("whole", _MARK, ""), F.lit(_BLANK))).otherwise(F.col("whole")))
-        .withColumn("line", F.regexp_replace(F.substring_index("whole", "\n", -1), _NUMBER, ""))
-        .select("id", "whole", "line", F.regexp_extract("line", r"(\p{L}+|\p{N}+)[^\p{L}\p{N}]*$", 1).alias("word"))
+        rows.select("id", "whole", "closed", F.explode(case).alias("c"))
+        .select("id", "whole", "closed", "c.marked", F.explode(F.array("c.line")).alias("line"))
+        .filter(F.col("line").isNotNull())
+        .select("id", unmarked("whole").alias("whole"), F.regexp_replace(unmarked("line"), _NUMBER, "").alias("line"), "closed")
+        .select("id", "whole", "line", F.regexp_extract("line", r"(\p{L}+|\p{N}+)[^\p{L}\p{N}]*$", 1).alias("word"), "closed")
     )
 
 
+def open_tails(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Candidates: ``id``, ``whole``, ``line`` (the last paragraph without its number) and ``word`` (the last word) of the
+    texts that end with a numbered paragraph that ends open. Its lines may be wrapped. Marks of a cut ("...", broken
+    characters) are taken off. A paragraph that another text has to the same place before its closing lines is complete.
+    Null, empty and blank texts are none."""
+    rows = cut_lineage(last_paragraphs(texts, key, text))
+    complete = rows.filter("closed").select("line").distinct()
+    return rows.filter(~F.col("closed")).drop("closed").join(complete, "line", "left_anti").select("id", "whole", "line", "word")
+
+
 def _exact(value: Column) -> list[Column]:
     return [F.xxhash64(value).alias("h1"), F.hash(value).alias("h2")]
 

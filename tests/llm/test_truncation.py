@@ -90,3 +90,24 @@ def test_short_prefixes_against_brute_force(spark):
     c = spark.createDataFrame(list(enumerate([*values, "a", "abcdefgh", "abcdefghijk", "abcdefghijklmnop", "zz"])), "id int, value string")
     got = {r.id for r in t.strict_prefixes(c, v, 16, None, (8, 1)).collect()}
     assert got == {r.id for r in c.collect() if r.value and any(x and x != r.value and x.startswith(r.value) for x in values)}
+
+
+WRAPPED = "COURT OF X\n\n1. The first claim was heard at length, and it was dis-\nmissed with costs.\n\n2. The second claim was bound by the terms\nof the lease, at the site in Dor-\nvan. The guarantee was "
+
+
+def test_cuts_on_wrapped_lines(spark):
+    rows = [
+        (1, WRAPPED + "with"),
+        (2, WRAPPED + "withdrawn\nin part."),
+        (3, WRAPPED + "withdrawn\nin part.\n(Signed) The Registrar"),
+        (4, WRAPPED + "withdrawn\nin part.\n\nDone at Dorvan on 3 May 1990\nPage 3 of 3"),
+        (5, (WRAPPED + "withdrawn\nin pa").replace("\n", "\r\n")),
+        (6, WRAPPED.replace(" The guarantee was ", "\nThe guarantee was withdrawn without the con")),
+        (7, WRAPPED + "kept\n- end of judgment -"),  # complete, though it lacks its full stop
+        (8, WRAPPED + "kept"),
+        (9, "1. The claim was heard.\n\n2. It was dismissed.\nNotice to all parties"),
+        (10, WRAPPED[: WRAPPED.index(" The guarantee")] + "\nPage 2 of 3\nThe guarantee was witheld by"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in t.truncated_texts(df).collect()} == {1, 5, 6, 10}
+    assert {r.id: r.line for r in t.open_tails(df, "doc_id", "text").collect()}[1].endswith("at the site in Dorvan. The guarantee was with")
