@@ -58,17 +58,24 @@ def path_edges(calls: DataFrame) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.count_if(F.col("allele") == F.col("_next")).alias("same"), F.count_if(F.col("allele") != F.col("_next")).alias("other"))
 
 
-def clique_edges(calls: DataFrame, most_calls: int = 64) -> DataFrame:
-    """Edges of all pairs of variants in a fragment, counted. Short fragments only: one with more than ``most_calls``
-    calls keeps the edges to the next ``most_calls`` variants, which connect as much."""
-    w = Window.partitionBy("frag_id").orderBy("varid")
-    rows = calls.withColumn("_i", F.row_number().over(w))
-    after = F.collect_list(F.struct("varid", "allele")).over(w.rowsBetween(1, most_calls))
-    near = rows.select(F.col("varid").alias("a"), "allele", after.alias("_after"))
-    pairs = near.select("a", "allele", F.explode("_after").alias("o"))
-    return pairs.groupBy("a", F.col("o.varid").alias("b")).agg(
-        F.count_if(F.col("allele") == F.col("o.allele")).alias("same"), F.count_if(F.col("allele") != F.col("o.allele")).alias("other")
-    )
+def clique_edges(calls: DataFrame, chunk: int = 64) -> DataFrame:
+    """Edges of all pairs of variants in a fragment, counted: ``a`` < ``b``, ``same`` and ``other`` fragments.
+
+    A fragment's calls are numbered in chunks of ``chunk`` and joined by fragment and pair of chunks, so the pairs of a long
+    fragment are spread over tasks: each call is copied once per chunk of its fragment, and a group has at most
+    ``chunk ** 2`` pairs, which are counted before the shuffle.
+    """
+    w = Window.partitionBy("frag_id")
+    rows = calls.select("frag_id", "varid", "allele", F.floor((F.row_number().over(w.orderBy("varid")) - 1) / chunk).alias("_c"))
+    rows = rows.withColumn("_last", F.max("_c").over(w))
+    one = rows.select("frag_id", F.col("varid").alias("a"), "allele", "_c", F.explode(F.sequence("_c", "_last")).alias("_d"))
+    two = rows.select(
+        F.col("frag_id").alias("_f"), F.col("varid").alias("b"), F.col("allele").alias("_other"), F.col("_c").alias("_e"),
+        F.explode(F.sequence(F.lit(0).cast("long"), "_c")).alias("_b"),
+    )
+    at = (F.col("frag_id") == F.col("_f")) & (F.col("_c") == F.col("_b")) & (F.col("_d") == F.col("_e")) & (F.col("a") < F.col("b"))
+    fits = F.col("allele") == F.col("_other")
+    return one.join(two, at).groupBy("a", "b").agg(F.count_if(fits).alias("same"), F.count_if(~fits).alias("other"))
 
 
 def allele_depth(calls: DataFrame) -> DataFrame:

@@ -127,3 +127,18 @@ def test_profile_reverses_minus_regions(spark):
     got = {(r.region_id, r.part, r.bin) for r in annotate.site_bins(regions, points).collect()}
     assert got == {("p", "body", 0), ("m", "body", 39), ("p", "up", 39), ("m", "down", 0)}
     assert annotate.profile(annotate.site_bins(regions, points)).count() == 117
+
+
+def test_clique_edges_of_long_fragments(spark):
+    long = [("f", 3 * v, v % 3 % 2, 30) for v in range(200)]
+    short = [("g", v, 1, 30) for v in (0, 3, 9)]
+    want = {}
+    for c in (long, short):
+        for i, x in enumerate(c):
+            for y in c[i + 1 :]:
+                n = want.setdefault((x[1], y[1]), [0, 0])
+                n[x[2] != y[2]] += 1
+    df = spark.createDataFrame(long + short, "frag_id string, varid long, allele int, qv int")
+    got = fg.clique_edges(df).collect()
+    assert len(got) == len(want) == 200 * 199 // 2
+    assert {(r.a, r.b): [r.same, r.other] for r in got} == want
