@@ -7,11 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.operators.intervals import attach
 from strandweave.operators.rangejoin import bin_join, previous, running_total
+from strandweave.session import cut_lineage
 
 _SMALL = [math.lgamma(i + 1) for i in range(64)]
 TIE = 1e-7
 CHAIN_BIN = 1 << 18
+P_BUCKET = 1 << 18
 
 
 def next_site_pairs(sites: DataFrame, bin_width: int = 1 << 18) -> DataFrame:
@@ -73,19 +76,26 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.least(F.lit(1.0), F.aggregate(F.sequence(lo, hi), F.lit(0.0), add))
 
 
-def adjust_p(df: DataFrame, p: str = "p", digits: int = 6) -> DataFrame:
-    """``df`` with ``q``, p adjusted for the false discovery rate over all rows.
+def adjust_p(df: DataFrame, p: str = "p", bucket: int = P_BUCKET) -> DataFrame:
+    """``df`` with ``q``, p adjusted for the false discovery rate over all rows. Rows without a p are left out.
 
-    Equal p values are counted first; p is rounded to ``digits``, so at most ``10 ** digits + 1`` rows are ordered
-    together, whatever the number of tests. The rounded p takes the place of p.
+    Equal p values are counted first. The different ones are put into ranges of about ``bucket`` and ordered within each; ranks
+    and least values are carried over on one row per range, so no task orders all of them. p is not rounded.
     """
-    rows = df.withColumn(p, F.round(p, digits))
-    counts = rows.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn("_rank", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    adjusted = ranks.withColumn("q", F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_all") / F.col("_rank")).over(down))).select("_p", "q")
-    return rows.join(adjusted, F.col(p) == F.col("_p")).drop("_p")
+    df = cut_lineage(df)  # read twice, computed once
+    counts = cut_lineage(df.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n")).filter(F.col("_p").isNotNull()))
+    n, total = counts.agg(F.count("*"), F.sum("_n")).first()
+    parts = max(1, -(-n // bucket))
+    ranged = cut_lineage(counts.repartitionByRange(parts, "_p").withColumn("_b", F.spark_partition_id())) if parts > 1 else counts.withColumn("_b", F.lit(0))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ranged.groupBy("_b").agg(F.sum("_n").alias("_s")).select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_carry"))
+    up = Window.partitionBy("_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = attach(ranged, carry, ["_b"]).withColumn("_q", F.col("_p") * F.lit(total or 0) / (F.col("_carry") + F.sum("_n").over(up)))
+    after = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    least = ranks.groupBy("_b").agg(F.min("_q").alias("_m")).select("_b", F.coalesce(F.min("_m").over(after), F.lit(1.0)).alias("_least"))
+    down = Window.partitionBy("_b").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.lit(1.0), F.col("_least"), F.min("_q").over(down))
+    return df.join(attach(ranks, least, ["_b"]).select("_p", q.alias("q")), F.col(p) == F.col("_p")).drop("_p")
 
 
 def dominance(counts: list[Column]) -> tuple[Column, Column]:

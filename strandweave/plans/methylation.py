@@ -114,8 +114,8 @@ def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact test and adjusted p of each pair; both strands are adjusted together."""
-    return _tested(spark, sf_dir).withColumn("q", F.round("q", 6))
+    """Exact test and adjusted p of each pair; both strands are adjusted together. Rounded at the end only."""
+    return _tested(spark, sf_dir).withColumns({"p": F.round("p", 6), "q": F.round("q", 6)})
 
 
 def dominance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

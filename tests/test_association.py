@@ -55,3 +55,13 @@ def test_next_pairs_over_bins(spark, width):
     df = spark.createDataFrame([("c", "+", p) for p in (1, 3, 3, 17, 90)] + [("c", "-", 2)], "chrom string, strand string, pos int")
     got = sorted((r.c1, r.c2) for r in a.next_site_pairs(df, width).collect())
     assert got == [(1, 3), (3, 17), (17, 90)]
+
+
+@pytest.mark.parametrize("bucket", [3, 1 << 18])
+def test_adjusted_p_of_small_values(spark, bucket):
+    rnd = random.Random(9)
+    p = [1e-9, 3e-8, 4e-7, 4e-7, 4.4e-7] + [rnd.choice([0.3, 0.5, 1.0, 10 ** -rnd.uniform(0, 9)]) for _ in range(60)]
+    rows = a.adjust_p(spark.createDataFrame(list(enumerate(p)), "i int, p double"), bucket=bucket).collect()
+    assert {r.i: r.p for r in rows} == dict(enumerate(p))
+    for r in rows:
+        assert r.q == pytest.approx(min(1.0, *[x * len(p) / sum(y <= x for y in p) for x in p if x >= r.p]), rel=1e-12)
