@@ -2,8 +2,9 @@
 ``spark.read.format("bam").load(path)``. The path may hold ``*``; all executors must see it (a shared mount).
 
 A file is read in byte ranges of ``split_bytes``, each a task. A range starts at the first compressed block in it; the
-first record there is found by testing places until a chain of records fits, and the records that start in the range's
-blocks are read, the last one beyond its end if needed. Memory per task is one block and one batch of rows.
+first record there is found by testing places until a chain of records fits, reading on as far as that takes, and the
+records that start in the range's blocks are read, the last one beyond its end if needed. Memory per task is one block and
+one batch of rows, and at a range's start a chain of records.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -109,12 +111,13 @@ def _fits(data: bytes, at: int, n_ref: int) -> int | None:
     return None if last < len(data) and data[last] else at + 4 + size
 
 
-def _first_record(data: bytes, n_ref: int) -> int | None:
+def _first_record(data: bytes, n_ref: int, end: bool) -> int | None:
+    """Where a chain of records starts: ``_CHAIN`` of them, or as many as there are up to the file's ``end``."""
     for start in range(len(data)):
         at, n = start, 0
         while at is not None and n < _CHAIN and at + 36 <= len(data):
             at, n = _fits(data, at, n_ref), n + 1
-        if at is not None and n:
+        if at is not None and n and (n == _CHAIN or end and at == len(data)):
             return start
     return None
 
@@ -168,12 +171,29 @@ class BamReader(DataSourceReader):
             out += [ByteRange(p, s, min(size, s + self.split)) for s in range(0, size, self.split)]
         return out
 
+    def _walk(self, f, part: ByteRange, names: list[str], skip: int) -> Iterator[tuple]:
+        data, base, at, starts = b"", 0, skip, []  # base: uncompressed bytes before data; starts: (first byte, place) of blocks
+        for place, content in _blocks(f, 0, os.path.getsize(part.path)):
+            starts.append((base + len(data), place))
+            data += content
+            while at + 4 <= base + len(data) and (end := at + 4 + struct.unpack_from("<i", data, at - base)[0]) <= base + len(data):
+                while len(starts) > 1 and starts[1][0] <= at:
+                    starts.pop(0)
+                if part.start <= starts[0][1] < part.end:
+                    yield _record(data, at - base, names)
+                at = end
+            n = min(at - base, len(data))
+            data, base = data[n:], base + n
+        if data:
+            raise ValueError(f"no record found in bytes {part.start} to {part.end} of {part.path}")
+
     def read(self, part: ByteRange) -> Iterator[tuple]:
         names, skip = _header(part.path)
         with open(part.path, "rb") as f:
             data, synced, own = b"", part.start == 0, 0  # own: bytes of data from blocks that start in the range
             size = os.path.getsize(part.path)
-            for at, content in _blocks(f, part.start, size):
+            tried = 0
+            for at, content in chain(_blocks(f, part.start, size), [(size, b"")]):
                 inside = at < part.end
                 if not inside and not own:
                     return
@@ -183,11 +203,14 @@ class BamReader(DataSourceReader):
                     n = min(skip, len(data))
                     data, own, skip = data[n:], max(0, own - n), skip - n
                 if not synced:
-                    if len(data) < 1 << 17 and inside and content:
+                    if at < size and len(data) < max(1 << 17, 2 * tried):  # doubled, so that trying stays in proportion
                         continue
-                    first = _first_record(data, len(names))
+                    first, tried = _first_record(data, len(names), at == size), len(data)
                     if first is None:
-                        return
+                        if at == size:  # the range may lie in the last record: only a walk from the file's start can tell
+                            yield from self._walk(f, part, names, skip)
+                            return
+                        continue
                     data, own, synced = data[first:], own - first, True
                 here = 0
                 while here < own and here + 4 <= len(data) and here + 4 + struct.unpack_from("<i", data, here)[0] <= len(data):

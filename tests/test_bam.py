@@ -38,3 +38,18 @@ def test_each_record_once_whatever_the_ranges(spark, tmp_path, split, block_byte
     spark.dataSource.register(BamDataSource)
     got = [tuple(r[c] for c in ("read_id", "flag", "chrom", "position", "cigar", "seq", "nm", "meth_state")) for r in spark.read.format("bam").option("split_bytes", split).load(str(path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("n", [3, 12])
+def test_records_longer_than_a_range(tmp_path, n):
+    from strandweave.sources.bam import BamReader
+
+    rnd = random.Random(n)
+    data = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 3) + b"c1\0" + struct.pack("<i", 10**6)
+    for i in range(n):
+        seq = "".join(rnd.choices("ACGT", k=150_000 if i % 3 else 50))
+        data += record(f"r{i}", 0, 0, i, [(len(seq), "M")], seq, b"")
+    path = tmp_path / "x.bam"
+    path.write_bytes(b"".join(block(data[i : i + 20000]) for i in range(0, len(data), 20000)) + block(b""))
+    reader = BamReader({"path": str(path), "split_bytes": "60000"})
+    assert [r[0] for p in reader.partitions() for r in reader.read(p)] == [f"r{i}" for i in range(n)]
