@@ -130,6 +130,11 @@ def asm_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return association.allele_specific_regions(cut_lineage(_tested(spark, sf_dir)), **LOOSE)
 
 
+def asm_regions_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions under the operator's own limits; few or none where coverage is low."""
+    return association.allele_specific_regions(cut_lineage(_tested(spark, sf_dir)))
+
+
 def states_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each folded state occurs in reads."""
     state = F.explode(F.split(fr.fold_states(fr.strip_inserted(F.col("meth_state"))), "")).alias("state")
@@ -148,7 +153,7 @@ QUERIES = {
     for f in (
         het_sites_asm, het_sites_hap, split_sites_by_strand, corrected_ratios, meth_category_hist, meth_density, region_sums, sliding_bins,
         strand_context_totals, weighted_levels, zoom_levels, drop_bs_ambiguous, call_totals, site_counts, next_site_pairs, pair_counts,
-        pair_tests, dominance_filter, asm_regions, states_folded, context_classes,
+        pair_tests, dominance_filter, asm_regions, asm_regions_strict, states_folded, context_classes,
     )
 }
 
@@ -224,3 +229,4 @@ SQL = {
       SELECT CASE WHEN f[3] <> 'C' THEN NULL WHEN f[4] = 'G' THEN 'CG' WHEN f[5] = 'G' THEN 'CHG' ELSE 'CHH' END AS forward,
         CASE WHEN b[3] <> 'C' THEN NULL WHEN b[4] = 'G' THEN 'CG' WHEN b[5] = 'G' THEN 'CHG' ELSE 'CHH' END AS backward, count(*) AS n FROM r GROUP BY ALL""",
 }
+SQL["asm_regions_strict"] = SQL["asm_regions"].replace("p <= 1.0", "p <= 0.01").replace("n BETWEEN 2 AND", "n BETWEEN 4 AND").replace("+ 1 >= 3", "+ 1 >= 4")

@@ -85,10 +85,19 @@ def heterozygous_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("chrom", "strand", "run_id").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count("*").alias("n_sites"), F.sum("mc").alias("mc"), F.sum("cov").alias("cov"))
 
 
+def _pileup(spark: SparkSession, sf_dir: str, least_depth: int) -> DataFrame:
+    rows = views.reads(spark, sf_dir, ["cigar", "seq"]).select("chrom", "start_pos", "seq", F.explode(fr.aligned_blocks(F.col("cigar"))).alias("b"))
+    return linkage.pileup(rows.select("chrom", (F.col("start_pos") + F.col("b.ref_at")).alias("s"), F.expr("substring(seq, b.read_at + 1, b.len)").alias("bases")), least_depth)
+
+
 def pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of positions that two reads or more cover with an aligned base."""
-    rows = views.reads(spark, sf_dir, ["cigar", "seq"]).select("chrom", "start_pos", "seq", F.explode(fr.aligned_blocks(F.col("cigar"))).alias("b"))
-    return linkage.pileup(rows.select("chrom", (F.col("start_pos") + F.col("b.ref_at")).alias("s"), F.expr("substring(seq, b.read_at + 1, b.len)").alias("bases")))
+    return _pileup(spark, sf_dir, 2)
+
+
+def pileup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every covered position."""
+    return _pileup(spark, sf_dir, 1)
 
 
 def variant_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +121,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snp_site_union, mixed_order, segment_ids, snp_state_pairs, mismatch_filter, covered_variants, prune_confidence, heterozygous_cuts,
-        pileup, variant_linkage, trans_rates,
+        pileup, pileup_all, variant_linkage, trans_rates,
     )
 }
 
@@ -156,3 +165,4 @@ SQL = {
       t AS (SELECT a, b, count(*) AS n, avg(x) AS p, avg(y) AS q, avg(x * y) AS pq FROM x WHERE b IS NOT NULL GROUP BY a, b)
       SELECT a, b, n, CASE WHEN p * (1 - p) * q * (1 - q) > 1e-12 THEN round((pq - p * q) * (pq - p * q) / (p * (1 - p) * q * (1 - q)), 6) END AS r2 FROM t""",
 }
+SQL["pileup_all"] = SQL["pileup"].replace("HAVING count(*) >= 2", "")

@@ -33,3 +33,10 @@ def test_empty(spark):
     calls = spark.createDataFrame([], "frag_id string, isize int, second boolean, varid long, allele int, qv int")
     assert linkage.trans_rates(calls, spark.createDataFrame([], "varid long, hap int")).count() == 0
     assert linkage.linkage(calls).count() == 0
+
+
+def test_a_whole_pileup_is_registered(spark, sf_dir):
+    from strandweave.plans import catalogue
+
+    depths = {r.depth for r in catalogue.QUERIES["pileup_all"](spark, sf_dir).select("depth").distinct().collect()}
+    assert {1, 2} <= depths and "asm_regions_strict" in catalogue.QUERIES
