@@ -1,15 +1,17 @@
 """Texts cut off by a field limit or in transfer.
 
-A text whose last paragraph ends open, without the end of a sentence, is a case: this rule decides. A self-join by prefix
-says what speaks for it besides: values cut short are strict prefixes of longer copies elsewhere in the corpus. It is made
-at three levels, each over the whole corpus: the text as a whole against all texts, its last line against all lines, and
-its last word or number against all of them (continued letters or digits). The highest level is the evidence; a case that
-is no strict prefix at any level, as one whose last word was never used again, has the evidence ``ending``.
-
-Prefixes are found by hash: each value has the hashes of its prefixes at the multiples of a step, a candidate only that
-of its longest such prefix; where those meet, the longer value's prefix of exactly the candidate's length is hashed
-again, with two hashes. Scale: values are never compared in pairs and never sorted together. The candidates' keys (48
-bytes each) are broadcast up to ``KEYS_BROADCAST`` of them, beyond that they are joined by a shuffle.
+Values cut short are strict prefixes of longer copies elsewhere: the self-join by prefix holds every text that ends open
+(without the end of a sentence) against all texts, and its last line or paragraph against all lines, numbered or not and of
+any length. A text is a case if it, or that line, goes on elsewhere before a line break. A cut text without a longer copy
+is no prefix of anything; there the ending decides: a text whose last numbered paragraph ends open is a case too, with the
+evidence ``ending``.
+
+Prefixes are found by hash: each value has the hashes of its prefixes at the powers of two, so all of them cost no more
+than reading the value twice; a candidate has that of its longest such prefix. Where those meet, the longer value's prefix of
+exactly the candidate's length is hashed again, with two hashes. Scale: values are never compared in pairs and never sorted
+together. Up to ``KEYS_BROADCAST`` different keys of candidates (48 bytes each) are broadcast. Beyond that the lengths of
+the longest values under each prefix hash, without the values, meet the keys in a shuffle, and only keys that a longer
+value may extend are joined with values.
 """
 
 from __future__ import annotations
@@ -17,14 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.session import cut_lineage
+from strandweave.session import cut_counted, cut_lineage
 
 KEYS_BROADCAST = 200_000
-TEXT_STEP = 256
-LINE_STEP = 64
-SHORT_STEPS = (8, 1)  # of lines shorter than LINE_STEP
-WORD_LONGEST = 40
-LEVELS = ("document", "line", "word", "ending")
+LEVELS = ("document", "line", "ending")
 _BREAKS = "\r\x0b\x0c\x85\u2028\u2029"
 _BLANK = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 _END = r"[.?!][\s\"\u00bb\u201c\u201d\u2019')\]\u00a0\u202f\p{So}\ufe0f]*$"
@@ -96,83 +94,77 @@ def _paragraph() -> Column:
 
 
 def last_paragraphs(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``id``, ``whole``, ``line``, ``word`` and ``closed`` of the texts whose last paragraph ends open: those followed by closing
-    lines (``closed``) are complete, the others are candidates. See ``open_tails``."""
+    """``id``, ``whole``, ``line``, ``ruled`` and ``closed`` of the texts that end open, before known closing lines if they have
+    some (``closed``: those are complete, the others are candidates). ``line`` is the last paragraph over wrapped lines if it
+    is numbered (``ruled``), else the last line. See ``open_tails``."""
     rows = texts.select(F.col(key).alias("id"), _broken(F.col(text)).alias("whole")).select("id", _trimmed("whole").alias("whole"))
     rows = _without_closing(rows)
     marked = F.col("last").rlike(_MARK) & ~F.col("last").rlike(_WITHHELD)
-    line = F.when(F.col("last").rlike(_PARAGRAPH), F.col("last")).otherwise(_paragraph())
-    case = F.when(_ends_open(F.col("last")), F.array(F.struct(marked.alias("marked"), line.alias("line"))))
+    paragraph = F.when(F.col("last").rlike(_PARAGRAPH), F.col("last")).otherwise(_paragraph())
+    case = F.when(_ends_open(F.col("last")), F.array(F.struct(marked.alias("marked"), paragraph.alias("paragraph"))))
     # exploded, not filtered: a filter would be pushed below the columns it reads and compute them once for each use
     unmarked = lambda c: F.when(F.col("marked"), F.rtrim(F.regexp_replace(c, _MARK, ""), F.lit(_BLANK))).otherwise(F.col(c))
+    open_ones = rows.select("id", "whole", "closed", "last", F.explode(case).alias("c")).select(
+        "id", "whole", "closed", "last", "c.marked", F.explode(F.array("c.paragraph")).alias("paragraph")
+    )
     return (
-        rows.select("id", "whole", "closed", F.explode(case).alias("c"))
-        .select("id", "whole", "closed", "c.marked", F.explode(F.array("c.line")).alias("line"))
-        .filter(F.col("line").isNotNull())
-        .select("id", unmarked("whole").alias("whole"), F.regexp_replace(unmarked("line"), _NUMBER, "").alias("line"), "closed")
-        .select("id", "whole", "line", F.regexp_extract("line", r"(\p{L}+|\p{N}+)[^\p{L}\p{N}]*$", 1).alias("word"), "closed")
+        open_ones.select("id", "whole", "closed", "marked", F.col("paragraph").isNotNull().alias("ruled"), F.coalesce("paragraph", "last").alias("line"))
+        .filter(F.length("whole") > 0)
+        .select("id", unmarked("whole").alias("whole"), F.regexp_replace(unmarked("line"), _NUMBER, "").alias("line"), "ruled", "closed")
     )
 
 
 def open_tails(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Candidates: ``id``, ``whole``, ``line`` (the last paragraph without its number) and ``word`` (the last word) of the
-    texts that end with a numbered paragraph that ends open. Its lines may be wrapped. Marks of a cut ("...", broken
-    characters) are taken off. A paragraph that another text has to the same place before its closing lines is complete.
-    Null, empty and blank texts are none."""
+    """Candidates: ``id``, ``whole``, ``line`` (the last paragraph or line without its number) and ``ruled`` (it is a numbered
+    paragraph) of the texts that end open. Marks of a cut ("...", broken characters) are taken off. A paragraph that another
+    text has to the same place before its closing lines is complete. Null, empty and blank texts are none."""
     rows = cut_lineage(last_paragraphs(texts, key, text))
-    complete = rows.filter("closed").select("line").distinct()
-    return rows.filter(~F.col("closed")).drop("closed").join(complete, "line", "left_anti").select("id", "whole", "line", "word")
+    complete = rows.filter(F.col("closed") & F.col("ruled")).select("line").distinct()
+    return rows.filter(~F.col("closed")).drop("closed").join(complete, "line", "left_anti").select("id", "whole", "line", "ruled")
 
 
 def _exact(value: Column) -> list[Column]:
     return [F.xxhash64(value).alias("h1"), F.hash(value).alias("h2")]
 
 
-def strict_prefixes(
-    candidates: DataFrame, values: DataFrame, step: int, longest: int | None = None, short: tuple[int, ...] = ()
-) -> DataFrame:
-    """``id`` of the candidates (``id``, ``value``) that are a strict prefix of one of the ``values`` (``value``).
+def _grid(n: Column) -> Column:
+    """The powers of two up to ``n``."""
+    return F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda x: x <= n)
+
 
-    Candidates shorter than ``step`` are compared at the smaller steps ``short``, in falling order; those shorter than all
-    of these are no prefix of anything here. ``longest`` bounds the prefixes of a value.
-    """
+def strict_prefixes(candidates: DataFrame, values: DataFrame, most_keys: int = KEYS_BROADCAST) -> DataFrame:
+    """``id`` of the candidates (``id``, ``value``) of which a longer one of the ``values`` (``value``) is an extension that
+    goes on before a line break. Null and empty values extend nothing and are extended by nothing."""
     n = F.length("value")
-    steps = (step, *short)
-    known = candidates.filter(n >= steps[-1]).select(
-        "id",
-        n.alias("n"),
-        F.coalesce(*[F.when(n >= x, F.floor(n / x) * x) for x in steps]).cast("int").alias("g"),
-        "value",
-    )
+    known = candidates.filter(n > 0).select("id", n.alias("n"), F.array_max(_grid(n)).alias("g"), "value")
     known = known.select("id", "n", "g", F.xxhash64(F.expr("substring(value, 1, g)")).alias("h"), *_exact(F.col("value")))
     known = cut_lineage(known)
-    keys = known.select("n", "g", "h", "h1", "h2").distinct()
-    small = known.count() <= KEYS_BROADCAST
-    top = F.length("value") if longest is None else F.least(F.length("value"), F.lit(longest))
-    upto = (top, *[F.least(top, F.lit(x - 1)) for x in steps])
-    points = [F.when(n >= x, F.sequence(F.lit(x), t, F.lit(x))) for x, t in zip(steps, upto)]
-    points = points[0] if not short else F.concat(*[F.coalesce(x, F.array().cast("array<int>")) for x in points])
-    grid = values.select("value", F.explode(points).alias("vg"))
+    keys, seen = cut_counted(known.select("n", "g", "h", "h1", "h2").distinct(), keys=F.count("*"))
+    small = seen["keys"] <= most_keys
+    grid = values.filter(n > 0).select("value", n.alias("len"), F.explode(_grid(n)).alias("vg"))
     grid = grid.withColumn("vh", F.xxhash64(F.expr("substring(value, 1, vg)")))
-    met = grid.join(F.broadcast(keys) if small else keys, (F.col("vg") == F.col("g")) & (F.col("vh") == F.col("h")))
-    cut = F.expr("substring(value, 1, n)")
-    hits = met.filter((F.length("value") > F.col("n")) & (F.xxhash64(cut) == F.col("h1")) & (F.hash(cut) == F.col("h2")))
+    at = (F.col("vg") == F.col("g")) & (F.col("vh") == F.col("h"))
+    if not small:
+        longest = grid.groupBy("vg", "vh").agg(F.max("len").alias("len"))
+        keys, seen = cut_counted(keys.join(longest, at).filter("len > n").select("n", "g", "h", "h1", "h2"), keys=F.count("*"))
+        small = seen["keys"] <= most_keys
+    met = grid.join(F.broadcast(keys) if small else keys, at).filter("len > n")
+    cut, rest = F.expr("substring(value, 1, n)"), F.expr("substring(value, n + 1, 64)")
+    hits = met.filter((F.xxhash64(cut) == F.col("h1")) & (F.hash(cut) == F.col("h2")) & ~rest.rlike(r"^[^\S\n]*(?:\n|$)"))
     hits = hits.select("n", "h1", "h2").distinct()
     return known.join(hits, ["n", "h1", "h2"], "left_semi").select("id")
 
 
-def truncated_texts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``evidence`` (``document``, ``line``, ``word`` or ``ending``) of the texts that were cut off. Copies are
-    each reported, repeated rows of a key once; extra columns are not read."""
+def truncated_texts(texts: DataFrame, key: str = "doc_id", text: str = "text", most_keys: int = KEYS_BROADCAST) -> DataFrame:
+    """``key`` and ``evidence`` (``document``, ``line`` or ``ending``) of the texts that were cut off. Copies are each
+    reported, repeated rows of a key once; extra columns are not read."""
     tails = cut_lineage(open_tails(texts, key, text))
     whole = _unmarked(texts.select(_broken(F.col(text)).alias("value")))
     lines = whole.select(F.explode(F.split("value", "\n")).alias("line"))
     lines = _unmarked(lines.select(F.regexp_replace("line", _NUMBER, "").alias("value")))
-    words = texts.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}++|\p{N}++"), F.lit(0))).alias("value")).distinct()
-    levels = (("whole", whole, TEXT_STEP, None, ()), ("line", lines, LINE_STEP, None, SHORT_STEPS), ("word", words, 1, WORD_LONGEST, ()))
-    found = tails.select("id", F.lit(len(levels)).alias("rank"))
-    for rank, (column, values, step, longest, short) in enumerate(levels):
-        one = strict_prefixes(tails.select("id", F.col(column).alias("value")), values, step, longest, short)
+    found = tails.filter("ruled").select("id", F.lit(len(LEVELS) - 1).alias("rank"))
+    for rank, (column, values) in enumerate((("whole", whole), ("line", lines))):
+        one = strict_prefixes(tails.select("id", F.col(column).alias("value")), values, most_keys)
         found = found.unionAll(one.select("id", F.lit(rank).alias("rank")))
     names = F.array(*[F.lit(x) for x in LEVELS])
     return found.groupBy("id").agg(F.get(names, F.min("rank")).alias("evidence")).withColumnRenamed("id", key)

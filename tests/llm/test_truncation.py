@@ -30,10 +30,9 @@ def docs(spark):
     return spark.createDataFrame([(i, x, "s%d" % (i % 2), 0) for i, x in DOCS.items()], "doc_id long, text string, source string, evidence int").repartition(3)
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
-def test_cut_texts(docs, monkeypatch, broadcast):
-    monkeypatch.setattr(t, "KEYS_BROADCAST", broadcast)
-    got = {r.doc_id: r.evidence for r in t.truncated_texts(docs).collect()}
+@pytest.mark.parametrize("most_keys", [200_000, 3, 0])
+def test_cut_texts(docs, most_keys):
+    got = {r.doc_id: r.evidence for r in t.truncated_texts(docs, most_keys=most_keys).collect()}
     assert set(got) == {3, 6, 7, 8, 14, 15, 17}
 
 
@@ -41,10 +40,9 @@ def test_strict_prefixes_against_brute_force(spark):
     values = ["abc", "abcdefgh", "abcdefgh", "abd", "x", "", None, "zzzzzzzzzzzzzzzz", "ééééé", "zzzz", "zzzzz"]
     v = spark.createDataFrame([(x,) for x in values], "value string")
     c = spark.createDataFrame([(i, x) for i, x in enumerate([*values, "ab", "éé", "q"])], "id int, value string")
-    for step in (1, 2, 4):
-        got = {r.id for r in t.strict_prefixes(c, v, step).collect()}
-        want = {r.id for r in c.collect() if r.value and len(r.value) >= step and any(x and x != r.value and x.startswith(r.value) for x in values)}
-        assert got == want
+    want = {r.id for r in c.collect() if r.value and any(x and x != r.value and x.startswith(r.value) for x in values)}
+    for most_keys in (100, 1, 0):
+        assert {r.id for r in t.strict_prefixes(c, v, most_keys).collect()} == want
 
 
 def test_whole_texts_cut_from_longer_copies_are_seen_as_such(spark):
@@ -71,7 +69,7 @@ def test_repeated_and_null_keys(spark):
     assert sorted(str(r.doc_id) for r in t.truncated_texts(df).collect()) == ["1", "None"]
 
 
-def test_an_open_end_decides_and_a_prefix_is_evidence_only(spark):
+def test_an_open_end_decides_where_no_longer_copy_is(spark):
     rows = [
         (1, "1. The claim was heard. So far as Tastasal"),  # a last word that is nowhere else
         (2, "1. The cat sat on the lease. It bound a cat"),  # used elsewhere, but nowhere continued
@@ -81,15 +79,29 @@ def test_an_open_end_decides_and_a_prefix_is_evidence_only(spark):
         (6, "1. The guarantee was withdrawn."),
     ]
     got = {r.doc_id: r.evidence for r in t.truncated_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: "ending", 2: "ending", 3: "line", 5: "word"}
+    assert got == {1: "ending", 2: "ending", 3: "document", 5: "ending"}
 
 
-def test_short_prefixes_against_brute_force(spark):
-    values = ["ab", "abc", "abcdefghij", "abcdefghijklmnopqrs", "abcdefghijklmnopqrstuvwxyz", "b", "", None]
+def test_prefixes_of_all_lengths_against_brute_force(spark):
+    base = "".join(chr(97 + i * i % 26) for i in range(70))
+    values = [base[:i] for i in (1, 2, 3, 7, 8, 9, 31, 33, 64, 70)] + [base[:20] + "\nmore", base[:21] + " \t\n", base[:5] + "#", "", None]
     v = spark.createDataFrame([(x,) for x in values], "value string")
-    c = spark.createDataFrame(list(enumerate([*values, "a", "abcdefgh", "abcdefghijk", "abcdefghijklmnop", "zz"])), "id int, value string")
-    got = {r.id for r in t.strict_prefixes(c, v, 16, None, (8, 1)).collect()}
-    assert got == {r.id for r in c.collect() if r.value and any(x and x != r.value and x.startswith(r.value) for x in values)}
+    c = spark.createDataFrame(list(enumerate([base[:i] for i in range(1, 71)] + [base[:20] + "\nmo"])), "id int, value string")
+    goes_on = lambda x, r: x.startswith(r) and x[len(r) :].split("\n")[0].strip() != ""
+    want = {r.id for r in c.collect() if any(x and goes_on(x, r.value) for x in values)}
+    for most_keys in (100, 1):
+        assert {r.id for r in t.strict_prefixes(c, v, most_keys).collect()} == want
+
+
+def test_a_cut_text_with_a_longer_copy_needs_no_numbered_paragraph(spark):
+    base = " ".join(f"the lessor of plot {i} claims its rent and" for i in range(30)) + " so it ends."
+    rows = [
+        (1, base), (2, base[:400]), (3, base[: base.index(" claims")]), (4, base[:401] + "\n\n(Signed) The Registrar"),
+        (5, "Minutes\nThe board sat at noon"), (6, "Minutes\nThe board sat at noon\nAnnexes follow"), (7, base + " What follows"), (8, base[:47] + "..."),
+        (9, "Elsewhere\n" + base), (10, "Elsewhere again\n" + base[:300]),
+    ]
+    got = {r.doc_id: r.evidence for r in t.truncated_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: "document", 3: "document", 8: "document", 10: "line"}
 
 
 WRAPPED = "COURT OF X\n\n1. The first claim was heard at length, and it was dis-\nmissed with costs.\n\n2. The second claim was bound by the terms\nof the lease, at the site in Dor-\nvan. The guarantee was "
