@@ -101,7 +101,7 @@ def last_paragraphs(texts: DataFrame, key: str, text: str) -> DataFrame:
     rows = _without_closing(rows)
     marked = F.col("last").rlike(_MARK) & ~F.col("last").rlike(_WITHHELD)
     paragraph = F.when(F.col("last").rlike(_PARAGRAPH), F.col("last")).otherwise(_paragraph())
-    case = F.when(_ends_open(F.col("last")), F.array(F.struct(marked.alias("marked"), paragraph.alias("paragraph"))))
+    case = F.when((F.col("last") != "") & _ends_open(F.col("last")), F.array(F.struct(marked.alias("marked"), paragraph.alias("paragraph"))))
     # exploded, not filtered: a filter would be pushed below the columns it reads and compute them once for each use
     unmarked = lambda c: F.when(F.col("marked"), F.rtrim(F.regexp_replace(c, _MARK, ""), F.lit(_BLANK))).otherwise(F.col(c))
     open_ones = rows.select("id", "whole", "closed", "last", F.explode(case).alias("c")).select(
@@ -109,7 +109,6 @@ def last_paragraphs(texts: DataFrame, key: str, text: str) -> DataFrame:
     )
     return (
         open_ones.select("id", "whole", "closed", "marked", F.col("paragraph").isNotNull().alias("ruled"), F.coalesce("paragraph", "last").alias("line"))
-        .filter(F.length("whole") > 0)
         .select("id", unmarked("whole").alias("whole"), F.regexp_replace(unmarked("line"), _NUMBER, "").alias("line"), "ruled", "closed")
     )
 
@@ -129,7 +128,7 @@ def _exact(value: Column) -> list[Column]:
 
 def _grid(n: Column) -> Column:
     """The powers of two up to ``n``."""
-    return F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda x: x <= n)
+    return F.slice(F.array(*[F.lit(1 << k) for k in range(31)]), 1, F.length(F.bin(n)))
 
 
 def strict_prefixes(candidates: DataFrame, values: DataFrame, most_keys: int = KEYS_BROADCAST) -> DataFrame:
@@ -141,7 +140,7 @@ def strict_prefixes(candidates: DataFrame, values: DataFrame, most_keys: int = K
     known = cut_lineage(known)
     keys, seen = cut_counted(known.select("n", "g", "h", "h1", "h2").distinct(), keys=F.count("*"))
     small = seen["keys"] <= most_keys
-    grid = values.filter(n > 0).select("value", n.alias("len"), F.explode(_grid(n)).alias("vg"))
+    grid = values.select("value", n.alias("len"), F.explode(_grid(n)).alias("vg"))  # not filtered, as above
     grid = grid.withColumn("vh", F.xxhash64(F.expr("substring(value, 1, vg)")))
     at = (F.col("vg") == F.col("g")) & (F.col("vh") == F.col("h"))
     if not small:
