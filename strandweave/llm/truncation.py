@@ -158,7 +158,7 @@ def truncated_texts(texts: DataFrame, key: str = "doc_id", text: str = "text", m
     """``key`` and ``evidence`` (``document``, ``line`` or ``ending``) of the texts that were cut off. Copies are each
     reported, repeated rows of a key once; extra columns are not read."""
     tails = cut_lineage(open_tails(texts, key, text))
-    whole = _unmarked(texts.select(_broken(F.col(text)).alias("value")))
+    whole = _unmarked(texts.select(_broken(F.col(text)).alias("value"))).select(F.explode(F.array("value")).alias("value"))  # computed once
     lines = whole.select(F.explode(F.split("value", "\n")).alias("line"))
     lines = _unmarked(lines.select(F.regexp_replace("line", _NUMBER, "").alias("value")))
     found = tails.filter("ruled").select("id", F.lit(len(LEVELS) - 1).alias("rank"))
