@@ -13,9 +13,9 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     variants = read_table(spark, sf_dir, "readvariant").filter(F.col("varid").isNotNull())
     calls = (
         read_table(spark, sf_dir, "hapfragments")
-        .select("frag_id", F.explode("alist").alias("call"), F.xxhash64(F.to_json("alist")).alias("own"))
+        .select(F.coalesce(F.concat(F.lit("id "), "frag_id"), F.to_json("alist")).alias("frag"), F.explode("alist").alias("call"))
         .filter(F.col("call.allele").isin("0", "1"))
-        .select(F.struct("frag_id", F.when(F.col("frag_id").isNull(), F.col("own")).alias("own")).alias("frag"), "call.varid")
+        .select("frag", "call.varid")
         .join(variants.select("varid"), "varid", "left_semi")
     )
     by_fragment = groups.member_edges(calls, F.col("frag"), F.col("varid"))

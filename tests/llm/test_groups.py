@@ -64,10 +64,43 @@ def test_empty(spark):
     assert groups.connected_groups(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [3, 1 << 16])
-def test_member_edges_connect_each_group_once(spark, chunk):
-    rows = [("g", v) for v in (9, 1, 4, 4, 100, 7)] + [("h", 5), ("i", 2), ("i", 3), (None, 8), (None, 9), ("i", None)]
+@pytest.fixture
+def hot(monkeypatch):
+    """Shares so small that hubs are heavy on test data."""
+    monkeypatch.setattr(groups, "LIGHT", 3)
+    monkeypatch.setattr(groups, "HEAVY", 20)
+
+
+def test_heavy_hubs(spark, hot):
+    edges = shapes() + [(9000, 9000 + i) for i in range(1, 200)] + [(9300 + i, 9301 + i) for i in range(40)] + [(9010, 9300)]
+    got = sorted(tuple(r) for r in groups.connected_groups(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == brute(edges)
+
+
+def test_large_ids(spark):
+    top = 9_223_372_036_854_775_000
+    edges = [(top + i, top + i + 1) for i in range(40)] + [(-top, -top + 7), (-top + 7, -top + 9), (-top + 9, -top)]
+    got = sorted(tuple(r) for r in groups.connected_groups(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == brute(edges)
+
+
+@pytest.mark.parametrize("light", [1, 10_000])
+def test_member_edges_connect_each_group_once(spark, monkeypatch, light):
+    monkeypatch.setattr(groups, "LIGHT", light)
+    monkeypatch.setattr(groups, "HEAVY", 4)
+    rows = [("g", v) for v in (9, 1, 4, 4, 100, 7, 1 << 62)] + [("h", 5), ("i", 2), ("i", 3), (None, 8), (None, 9), ("i", None)]
     df = spark.createDataFrame(rows, "g string, v long")
-    edges = [tuple(r) for r in groups.member_edges(df, F.col("g"), F.col("v"), chunk).collect()]
-    assert len(edges) == 5
-    assert brute(edges) == [(1, 1), (1, 4), (1, 7), (1, 9), (1, 100), (2, 2), (2, 3)]
+    edges = [tuple(r) for r in groups.member_edges(df, F.col("g"), F.col("v")).collect()]
+    assert len(edges) == 6 and all(a < b for a, b in edges)
+    assert brute(edges) == [(1, 1), (1, 4), (1, 7), (1, 9), (1, 100), (1, 1 << 62), (2, 2), (2, 3)]
+
+
+def test_no_tables_are_left_but_those_of_the_result(spark):
+    import os
+
+    from strandweave.session import checkpoint_dir
+
+    tables = lambda: {x for x in os.listdir(checkpoint_dir(spark)) if x.startswith("cut-")}
+    before = tables()
+    groups.connected_groups(spark.createDataFrame(shapes(), "a long, b long"), keep=0.9).count()
+    assert len(tables() - before) <= 2  # members and their groups
