@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import groups, leaks, quantiles, tokens, truncation
@@ -38,8 +38,8 @@ CASE_ROWS = 50
 MEDIANS_BROADCAST = 200_000
 
 
-def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per counting value: row_id, field_name, chr, context, value and its leaf."""
+def _values(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """One row per counting value: row_id, field_name, chr, context, value and its leaf, and ``more``."""
     context = F.upper(F.trim("context"))
     cov, level = F.col("coverage"), F.col("methlevel")
     parts = F.array(
@@ -52,9 +52,10 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         read_table(spark, sf_dir, "methratio")
         .filter(F.col("chr").isNotNull() & F.col("context").isNotNull())
-        .select("row_id", "chr", context.alias("context"), F.explode(parts).alias("p"))
+        .select("row_id", "chr", context.alias("context"), *more, F.explode(parts).alias("p"))
         .filter(F.col("p").isNotNull())
-        .select("row_id", "p.field_name", "chr", "context", "p.value", "p.leaf")
+        .select("*", "p.field_name", "p.value", "p.leaf")
+        .drop("p")
     )
 
 
@@ -83,8 +84,7 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_daily_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests made per library, compressed and then combined: the medians over all of them."""
     keys = ("library_id", *KEYS)
-    library = read_table(spark, sf_dir, "methratio").select("row_id", F.coalesce("library_id", F.lit("")).alias("library_id"))
-    own = _values(spark, sf_dir).join(library, "row_id")
+    own = _values(spark, sf_dir, F.coalesce("library_id", F.lit("")).alias("library_id"))
     stored = quantiles.recompress(quantiles.merge_digests(quantiles.partial_digests(own, keys, "leaf"), keys), keys)
     return quantiles.digest_percentiles(quantiles.merge_digests(stored, KEYS), KEYS, [0.5]).select(*KEYS, "leaf", "n")
 

@@ -3,11 +3,11 @@
 Texts are split into words in Spark, each distinct word is encoded once, and the ids are joined back by position. Words
 never span a split, so a text's ids are those of its words in order.
 
-Scale: the words of a text are rows only where it pays. A word with at least a ``FREQUENT``-th of all occurrences is
-frequent; there are at most ``FREQUENT`` such words of at most ``LONGEST`` characters, whatever the corpus, so their
-table is broadcast and the ids of their occurrences are looked up column-wise in Arrow. The other words of a
-text become (document, position, word) rows, each once per text with its place in the text's list of them, are joined by
-word with a shuffle and put back into their positions.
+Scale: the words of a text are rows only where it pays. A word with at least a ``FREQUENT``-th of all occurrences, and
+more in proportion the longer it is, is frequent; whatever the corpus, there are at most ``FREQUENT`` such words with at most
+``LONGEST`` times as many characters in all. So their table is broadcast and the ids of their occurrences are looked up
+column-wise in Arrow. The other words of a text become (document, position, word) rows, each once per text with its place
+in the text's list of them, are joined by word with a shuffle and put back into their positions.
 
 Null, empty and blank texts have defined ids: null and empty ones an empty list, blank ones those of their white space.
 """
@@ -59,14 +59,14 @@ def word_table(texts: DataFrame, text: str, vocabulary: str = VOCABULARY) -> Dat
 
 
 def _split_batches(frequent: pa.Table, want_ids: bool):
-    """Arrow stage over (id, hash, words): the ids of frequent words, with ``-1 - k`` for a text's ``k``-th other word; or
+    """Arrow stage over (id, two hashes, words): the ids of frequent words, with ``-1 - k`` for a text's ``k``-th other word; or
     those other words, each once per text, in the order of their first places."""
     words, ids = frequent.column("word").combine_chunks(), frequent.column("ids").combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.concat_arrays([ids, pa.array([[0]], ids.type)])
         for b in batches:
-            lists = b.column(2)
+            lists = b.column(3)
             lists = lists.cast(pa.list_(pa.string())) if lists.type != pa.list_(pa.string()) else lists
             flat, offsets = lists.flatten(), lists.offsets.to_numpy()
             offsets = offsets - offsets[0]
@@ -88,7 +88,7 @@ def _split_batches(frequent: pa.Table, want_ids: bool):
                 made = pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(out))
             else:
                 made = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), other.take(pa.array(first[order])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], names=["_id", "_h", "_out"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), made], names=["_id", "_h1", "_h2", "_out"])
 
     return run
 
@@ -129,22 +129,28 @@ def encode_corpus(
     """``key`` (a bigint) and ``ids`` of every row, repeated rows and null keys too. Extra columns are not read."""
     table = cut_lineage(word_table(texts, text, vocabulary))
     total = table.agg(F.sum("n")).first()[0] or 0
-    known = (F.col("n") * frequent >= F.lit(total)) & (F.length("word") <= longest)
-    few = table.filter(known).select("word", "ids").toArrow()  # at most ``frequent`` rows of bounded length
+    # the share asked for grows with the length, so that the characters of all frequent words are bounded too
+    known = F.col("n") * (frequent * longest) >= F.lit(total) * F.greatest(F.lit(longest), F.length("word"))
+    few = table.filter(known).select("word", "ids").toArrow()
     few = few.cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))]))
-    words = texts.select(F.col(key).cast("long").alias("_id"), F.hash(text).alias("_h"), split_words(F.col(text)).alias("_words"))
-    holed = words.mapInArrow(_split_batches(few, True), "_id long, _h int, _out array<int>")
-    rare = words.mapInArrow(_split_batches(few, False), "_id long, _h int, _out array<string>")
-    rows = rare.select("_id", "_h", F.posexplode("_out").alias("_pos", "word"))
+    # Rows of one key are told apart by 128 bits of hash; a key that is not null and has one row needs none.
+    key_of = F.col(key).cast("long")
+    repeated = not texts.filter(key_of.isNotNull()).groupBy(key_of).agg(F.count("*").alias("_n")).filter("_n > 1").isEmpty()
+    own = lambda h: h if repeated else F.when(key_of.isNull(), h)
+    h1, h2 = own(F.xxhash64(text)), own(F.xxhash64(F.lit(1), text))
+    words = texts.select(key_of.alias("_id"), h1.alias("_h1"), h2.alias("_h2"), split_words(F.col(text)).alias("_words"))
+    holed = words.mapInArrow(_split_batches(few, True), "_id long, _h1 long, _h2 long, _out array<int>")
+    rare = words.mapInArrow(_split_batches(few, False), "_id long, _h1 long, _h2 long, _out array<string>")
+    rows = rare.select("_id", "_h1", "_h2", F.posexplode("_out").alias("_pos", "word"))
     others = table.filter(~known).select(F.col("word").alias("_word"), F.col("ids").alias("_ids"))
-    # by key and hash of the text, each word once: repeated rows and repeated or null keys do no harm
+    # by key and hashes of the text, each word once: repeated rows and repeated or null keys do no harm
     fills = (
         rows.join(others, F.col("word") == F.col("_word"))
-        .groupBy("_id", "_h")
+        .groupBy("_id", "_h1", "_h2")
         .agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("_pos", "_ids")))).alias("_fills"))
-        .select(F.col("_id").alias("_fid"), F.col("_h").alias("_fh"), F.col("_fills._ids").alias("_fills"))
+        .select(F.col("_id").alias("_fid"), F.col("_h1").alias("_f1"), F.col("_h2").alias("_f2"), F.col("_fills._ids").alias("_fills"))
     )
-    same = (F.col("_h") == F.col("_fh")) & F.col("_id").eqNullSafe(F.col("_fid"))
+    same = F.col("_id").eqNullSafe(F.col("_fid")) & F.col("_h1").eqNullSafe(F.col("_f1")) & F.col("_h2").eqNullSafe(F.col("_f2"))
     whole = holed.join(fills, same, "left").select("_id", "_out", "_fills")
     return whole.mapInArrow(_fill_batches, "_id long, ids array<int>").withColumnRenamed("_id", key)
 

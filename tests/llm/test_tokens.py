@@ -63,3 +63,21 @@ def test_repeated_and_null_keys(spark, reference, frequent):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r.doc_id), r.ids) for r in tokens.encode_corpus(df, "doc_id", "text", frequent=frequent).collect())
     assert got == sorted((str(k), reference(t)) for k, t in rows)
+
+
+def test_null_keys_whose_texts_share_a_short_hash(spark, reference):
+    from pyspark.sql import functions as F
+
+    texts = ["zq16737 vortex91959", "zq23D37 vortex146743"]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(1, texts[0])], "doc_id long, text string")
+    assert df.select(F.hash("text")).distinct().count() == 1
+    for rows in (df, df.unionAll(df)):
+        got = sorted((str(r.doc_id), r.ids) for r in tokens.encode_corpus(rows, "doc_id", "text", frequent=1).collect())
+        assert got == sorted((str(r.doc_id), reference(r.text)) for r in rows.collect())
+
+
+def test_long_words_in_many_texts(spark, reference):
+    texts = ["=" * 3000 + f" {i} " + "ab" * (i % 7) for i in range(60)] + ["-" * 70] * 30
+    for frequent in (4, 50, 1 << 17):
+        _, out = run(spark, texts, frequent=frequent)
+        assert {r.doc_id: r.ids for r in out.collect()} == {i: reference(t) for i, t in enumerate(texts)}
