@@ -130,7 +130,7 @@ def encode_corpus(
     table = cut_lineage(word_table(texts, text, vocabulary))
     total = table.agg(F.sum("n")).first()[0] or 0
     # the share asked for grows with the length, so that the characters of all frequent words are bounded too
-    known = F.col("n") * (frequent * longest) >= F.lit(total) * F.greatest(F.lit(longest), F.length("word"))
+    known = F.col("n") * float(frequent * longest) >= float(total) * F.greatest(F.lit(longest), F.length("word"))
     few = table.filter(known).select("word", "ids").toArrow()
     few = few.cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))]))
     # Rows of one key are told apart by 128 bits of hash; a key that is not null and has one row needs none.
