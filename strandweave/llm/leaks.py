@@ -8,8 +8,12 @@ blocks of 16 bits at least one block agrees, so a lookup by block misses none. C
 by the exact similarity of their windows, weighted by the length of words, and then by an alignment that follows the
 passage from there in both directions.
 
+Windows of the size of an item or of a whole passage would not do: an edited word moves so many bits that the radius misses
+cases (see README for the share). Seven words is the longest window that holds no edit in every case.
+
 Scale: the documents are scanned once, without a shuffle, against an index of the items' windows that is broadcast; its
-size is checked first (``INDEX_WORDS`` words, some 30 MB). Beyond that, windows of both sides meet in a shuffle by block.
+size is checked first (``INDEX_WORDS`` words, some 30 MB). Beyond that, windows of both sides meet in a shuffle: of
+``RADIUS + 2`` blocks at least two agree, so the join is by pairs of blocks, of 25 or 26 bits each.
 """
 
 from __future__ import annotations
@@ -220,8 +224,18 @@ def leaked_passages(
     return docs.mapInArrow(_scan(index), "item_id long, doc_id long").distinct()
 
 
+def pair_keys(fp: np.ndarray) -> list[np.ndarray]:
+    """For each pair of the ``RADIUS + 2`` blocks of the fingerprints, the bits of both and the number of the pair."""
+    n = RADIUS + 2
+    cuts = [64 * i // n for i in range(n + 1)]
+    part = [(fp >> np.uint64(lo)) & np.uint64((1 << hi - lo) - 1) for lo, hi in zip(cuts, cuts[1:])]
+    wide = np.uint64(max(hi - lo for lo, hi in zip(cuts, cuts[1:])))
+    pairs = [(i, j) for j in range(n) for i in range(j)]
+    return [(((part[i] << wide) | part[j]) * np.uint64(len(pairs)) + np.uint64(k)).astype(np.int64) for k, (i, j) in enumerate(pairs)]
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to one row for each window and block of its fingerprint."""
+    """(id, text) to one row for each window and pair of blocks of its fingerprint."""
     hasher = Hasher()
     for whole in batches:
         for i in range(0, whole.num_rows, 64):
@@ -233,8 +247,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 places.append(np.arange(len(fp), dtype=np.int32))
                 fps.append(fp)
             own, place, fp = np.concatenate(ids), np.concatenate(places), np.concatenate(fps)
-            for block in range(RADIUS + 1):
-                key = ItemIndex.block(fp, block) * (RADIUS + 1) + block
+            for key in pair_keys(fp):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own), pa.array(place), pa.array(fp.view(np.int64)), pa.array(key)], names=["_own", "_place", "_fp", "_key"]
                 )
@@ -257,9 +270,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same for items of any number: windows of both sides meet in a shuffle by block of their fingerprints. A pair
-    of texts has at most one row per window of the item in ``hits``."""
-    form = "_own long, _place int, _fp long, _key int"
+    """The same for items of any number: windows of both sides meet in a shuffle by pairs of blocks of their fingerprints.
+    A pair of texts has at most one row per window of the item in ``hits``."""
+    form = "_own long, _place int, _fp long, _key long"
     mine = docs.mapInArrow(_windows, form).select(F.col("_own").alias("doc"), F.col("_place").alias("at"), F.col("_fp").alias("dfp"), F.col("_key").alias("dkey"))
     theirs = items.mapInArrow(_windows, form).select(F.col("_own").alias("item"), "_place", F.col("_fp").alias("ifp"), F.col("_key").alias("ikey"))
     close = mine.join(theirs, F.col("dkey") == F.col("ikey")).filter(F.bit_count(F.col("dfp").bitwiseXOR(F.col("ifp"))) <= RADIUS)

@@ -77,6 +77,19 @@ def test_every_fingerprint_within_the_radius_is_found():
     assert set(zip(left.tolist(), right.tolist())) == want and len(left) == len(want)
 
 
+def test_fingerprints_within_the_radius_share_a_pair_of_blocks():
+    rnd = np.random.default_rng(6)
+    fp = rnd.integers(0, 1 << 63, 400).astype(np.uint64)
+    moved = fp.copy()
+    for i in range(len(fp)):
+        for b in rnd.choice(64, leaks.RADIUS, replace=False):
+            moved[i] ^= np.uint64(1) << np.uint64(b)
+    met = np.any([a == b for a, b in zip(leaks.pair_keys(fp), leaks.pair_keys(moved))], axis=0)
+    assert met.all() and len(leaks.pair_keys(fp)) == 10
+    strange = np.any([a == b for a, b in zip(leaks.pair_keys(fp), leaks.pair_keys(fp[::-1].copy()))], axis=0)
+    assert strange.mean() < 0.01
+
+
 def test_simhash_is_the_majority_of_bits():
     h = np.random.default_rng(0).integers(0, 1 << 63, 30).astype(np.uint64)
     got = leaks.simhash(h)
