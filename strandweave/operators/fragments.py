@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.operators.intervals import attach
 from strandweave.operators.rangejoin import previous, running_total, runs
-from strandweave.session import cut_lineage, release
+from strandweave.session import cut_counted, cut_lineage, release
 
 LEAST_QV = 6
 CHUNK = 1 << 16
@@ -157,42 +158,144 @@ def chain_phase(calls: DataFrame, blocks: DataFrame) -> DataFrame:
     return run.select("varid", "block_id", (F.col("_run") % 2).cast("int").alias("hap"))
 
 
-def phase(calls: DataFrame, blocks: DataFrame, rounds: int = 4) -> DataFrame:
+def phase(calls: DataFrame, blocks: DataFrame) -> DataFrame:
     """Haplotypes by local search on whole tables: in each round, fragments take the side that fits them better, and a
-    variant flips where the weight of calls against it exceeds that for it. No round lowers the total weight of fitting
-    calls. ``varid``, ``block_id``, ``hap`` and ``confidence`` (share of the weight that fits)."""
+    variant flips where the weight of calls against it exceeds that for it. Each flip raises the total weight of fitting
+    calls, so the rounds come to an end: with the first in which no variant flips. ``varid``, ``block_id``, ``hap`` and
+    ``confidence`` (share of the weight that fits)."""
     weight = F.col("qv").cast("double")
     hap = cut_lineage(chain_phase(calls, blocks))
     usable = calls.filter(F.col("qv") >= LEAST_QV)
-    for _ in range(rounds):
+    while True:
         rows = usable.join(hap.select("varid", "hap"), "varid")
         sign = F.when(F.col("allele") == F.col("hap"), weight).otherwise(-weight)
         side = rows.groupBy("frag_id").agg(F.when(F.sum(sign) < 0, -1).otherwise(1).alias("_side"))
         votes = rows.join(side, "frag_id").groupBy("varid").agg(F.sum(sign * F.col("_side")).alias("_v"), F.sum(weight).alias("_w"))
         old = hap
-        hap = cut_lineage(
-            old.drop("confidence")
+        flips = F.coalesce(F.col("_v") < 0, F.lit(False))
+        hap, seen = cut_counted(
+            old.drop("confidence", "_flips")
             .join(votes, "varid", "left")
             .select(
                 "varid",
                 "block_id",
-                F.when(F.col("_v") < 0, 1 - F.col("hap")).otherwise(F.col("hap")).alias("hap"),
+                F.when(flips, 1 - F.col("hap")).otherwise(F.col("hap")).alias("hap"),
                 F.coalesce((F.abs("_v") + F.col("_w")) / (2 * F.col("_w")), F.lit(0.5)).alias("confidence"),
-            )
+                flips.alias("_flips"),
+            ),
+            flips=F.count_if("_flips"),
         )
         release(old)
-    return hap
+        if not seen["flips"]:
+            return hap.drop("_flips")
+
+
+def _odds(qv: Column) -> Column:
+    """log10 of P(wrong) / P(right) of a call."""
+    e = F.pow(F.lit(10.0), -qv / 10.0)
+    return F.log10(e / (1 - e))
+
+
+def _log_sum(a: Column, b: Column) -> Column:
+    """log10(10**a + 10**b)."""
+    top = F.greatest(a, b)
+    return top + F.log10(F.pow(F.lit(10.0), a - top) + F.pow(F.lit(10.0), b - top))
+
+
+def _sides(calls: DataFrame, haplotype: DataFrame) -> DataFrame:
+    """Calls of phased variants with ``_d``, what flipping the variant adds to log10 P(fragment | haplotype) and takes from
+    that of the complement, and both likelihoods of the whole fragment, ``_1`` and ``_2``."""
+    e = F.pow(F.lit(10.0), -F.col("qv") / 10.0)
+    fits = F.col("allele") == F.col("hap")
+    rows = calls.filter(F.col("qv") >= LEAST_QV).join(haplotype.select("varid", "hap"), "varid")
+    rows = rows.withColumn("_d", F.when(fits, _odds(F.col("qv"))).otherwise(-_odds(F.col("qv"))))
+    both = rows.groupBy(F.col("frag_id").alias("_f")).agg(
+        F.sum(F.log10(F.when(fits, 1 - e).otherwise(e))).alias("_1"), F.sum(F.log10(F.when(fits, e).otherwise(1 - e))).alias("_2")
+    )
+    return rows.join(both, F.col("frag_id") == F.col("_f")).drop("_f")
+
+
+def flip_gains(calls: DataFrame, haplotype: DataFrame) -> DataFrame:
+    """``varid``, ``gain``, how much the log10 likelihood of all fragments rises if that variant alone is flipped, and
+    ``posterior``, the probability of its phase given all others. One join and two groupings, whatever the blocks."""
+    now, then = _log_sum(F.col("_1"), F.col("_2")), _log_sum(F.col("_1") + F.col("_d"), F.col("_2") - F.col("_d"))
+    gains = _sides(calls, haplotype).groupBy("varid").agg(F.sum(then - now).alias("gain"))
+    return gains.withColumn("posterior", 1 / (1 + F.pow(F.lit(10.0), F.least("gain", F.lit(300.0)))))
+
+
+def switch_gains(calls: DataFrame, haplotype: DataFrame) -> DataFrame:
+    """``block_id``, ``varid`` and ``gain``: how much the log10 likelihood of all fragments rises if the block is flipped from
+    that variant on. A fragment adds the same to all cuts between two of its calls, so it gives two events there, and
+    the gain of a cut is a running total over the block, in bins."""
+    w = Window.partitionBy("frag_id").orderBy("varid")
+    rows = _sides(calls, haplotype)
+    # all calls from the next one on flipped
+    rest = F.sum("_d").over(w.rowsBetween(1, Window.unboundedFollowing))
+    then = _log_sum(F.col("_1") + rest, F.col("_2") - rest)
+    cuts = rows.select("varid", F.lead("varid").over(w).alias("_next"), (then - _log_sum(F.col("_1"), F.col("_2"))).alias("_g"))
+    events = cuts.filter(F.col("_next").isNotNull()).select(
+        F.inline(F.array(F.struct(F.col("varid").alias("v"), F.col("_g").alias("g")), F.struct(F.col("_next").alias("v"), (-F.col("_g")).alias("g"))))
+    )
+    # an event at a call counts for the cuts behind it
+    sums = events.groupBy(F.col("v").alias("_v")).agg(F.sum("g").alias("_g"))
+    placed = haplotype.select("block_id", "varid").join(sums, F.col("varid") == F.col("_v"), "left").select("block_id", "varid", F.coalesce("_g", F.lit(0.0)).alias("_g"))
+    total = running_total(placed, ["block_id"], "varid", F.col("_g"), "_t", CHUNK)
+    return total.select("block_id", "varid", (F.col("_t") - F.col("_g")).alias("gain"))
+
+
+def refine(calls: DataFrame, haplotype: DataFrame, least_gain: float = 1e-6) -> DataFrame:
+    """``haplotype`` (varid, block_id, hap) climbed to where no flip of one variant and no flip of a block from one variant
+    on raises the likelihood by ``least_gain`` or more, with ``posterior`` of each variant.
+
+    Each round flips, in every block, the variants whose gain is the best of all that share a fragment with them, or
+    else the block behind its best cut; both only raise the likelihood, so the rounds come to an end.
+    """
+    hap = cut_lineage(haplotype.select("varid", "block_id", "hap"))
+    while True:
+        gains = cut_lineage(flip_gains(calls, hap))
+        better = gains.filter(F.col("gain") >= least_gain).select("varid", F.struct("gain", "varid").alias("_r"))
+        met = calls.filter(F.col("qv") >= LEAST_QV).select("frag_id", "varid").join(better, "varid")
+        best = met.groupBy("frag_id").agg(F.max("_r").alias("_b"))
+        lost = met.join(best, "frag_id").filter(F.col("_r") != F.col("_b")).select("varid").distinct()
+        flips = better.select("varid").join(lost, "varid", "left_anti").withColumn("_one", F.lit(1))
+        old = hap
+        hap, seen = cut_counted(
+            old.join(flips, "varid", "left").select("varid", "block_id", F.when(F.col("_one") == 1, 1 - F.col("hap")).otherwise(F.col("hap")).alias("hap"), "_one"), n=F.count("_one")
+        )
+        hap = _without_mark(hap)
+        release(old)
+        if seen["n"]:
+            release(gains)
+            continue
+        top = switch_gains(calls, hap).groupBy("block_id").agg(F.max(F.struct("gain", (-F.col("varid")).alias("v"))).alias("_t"))
+        top = top.filter(F.col("_t.gain") >= least_gain).select("block_id", (-F.col("_t.v")).alias("_cut"))
+        new, seen = cut_counted(
+            attach(hap, top, ["block_id"], "left").select(
+                "varid", "block_id", F.when(F.col("varid") >= F.col("_cut"), 1 - F.col("hap")).otherwise(F.col("hap")).alias("hap"), "_cut"
+            ),
+            n=F.count("_cut"),
+        )
+        if not seen["n"]:
+            return hap.join(gains.select("varid", "posterior"), "varid", "left").select("varid", "block_id", "hap", F.coalesce("posterior", F.lit(0.5)).alias("posterior"))
+        release(hap, gains)
+        hap = _without_mark(new)
+
+
+def _without_mark(table: DataFrame) -> DataFrame:
+    out = table.select("varid", "block_id", "hap")
+    out._cut_name = table._cut_name
+    return out
 
 
 def switch_errors(hap: DataFrame, truth: DataFrame) -> DataFrame:
     """Per block: variants compared with a true haplotype (varid, true_hap), ``switches`` and ``mismatches``. A phase
     that changes twice in a row, or at the last variant, is a mismatch; the other changes are switches."""
-    w = Window.partitionBy("block_id").orderBy("varid")
-    x = hap.join(truth, "varid").withColumn("_x", (F.col("hap") != F.col("true_hap")).cast("int"))
-    change = x.withColumn("_c", (F.col("_x") != F.lag("_x").over(w)).cast("int")).withColumn("_last", F.lead("_x").over(w).isNull())
-    change = change.withColumn("_c", F.coalesce("_c", F.lit(0)))
-    flat = change.withColumn("_r", F.sum(F.when(F.col("_c") == 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = flat.filter("_c = 1").groupBy("block_id", "_r").agg(F.count("*").alias("_n"), F.max("_last").alias("_l"))
+    x = hap.join(truth, "varid").select("block_id", "varid", (F.col("hap") != F.col("true_hap")).cast("int").alias("_x"))
+    change = previous(x, ["block_id"], "varid", "_x", "_p", CHUNK).withColumn("_c", F.coalesce((F.col("_x") != F.col("_p")).cast("int"), F.lit(0)))
+    flat = running_total(change, ["block_id"], "varid", 1 - F.col("_c"), "_r", CHUNK)
+    ends = x.groupBy(F.col("block_id").alias("_b")).agg(F.max("varid").alias("_end"))
+    run = flat.filter("_c = 1").groupBy("block_id", "_r").agg(F.count("*").alias("_n"), F.max("varid").alias("_v"))
+    run = run.join(ends, F.col("block_id") == F.col("_b")).withColumn("_l", F.col("_v") == F.col("_end"))
     # a run of n changes in a row holds n // 2 mismatches and, if odd, a switch, or a mismatch at the block's end
     per = run.groupBy("block_id").agg(
         F.sum((F.col("_n") % 2) * F.when(F.col("_l"), 0).otherwise(1)).alias("switches"),
@@ -205,8 +308,9 @@ def switch_errors(hap: DataFrame, truth: DataFrame) -> DataFrame:
 
 def half_length(df: DataFrame, length: str, total: Column | None = None) -> DataFrame:
     """One row with ``n50``: the length at which the longest rows, added up, reach half of ``total`` (of all lengths if
-    not given). Equal lengths are counted first, so only the different lengths are ordered."""
+    not given). Equal lengths are counted first, and the different ones are ordered in bins."""
     counts = df.groupBy(F.col(length).alias("_l")).agg(F.count("*").alias("_n"))
-    upto = F.sum(F.col("_l") * F.col("_n")).over(Window.orderBy(F.desc("_l")).rowsBetween(Window.unboundedPreceding, 0))
-    half = (total if total is not None else F.sum(F.col("_l") * F.col("_n")).over(Window.partitionBy())) / 2
-    return counts.select("_l", upto.alias("_t"), half.alias("_h")).filter("_t >= _h").agg(F.max("_l").alias("n50"))
+    counts, seen = cut_counted(counts.filter("_l > 0").withColumn("_a", -F.col("_l")), total=F.sum(F.col("_l") * F.col("_n")))
+    half = (total if total is not None else F.lit(seen["total"] or 0)) / 2
+    upto = running_total(counts, [], "_a", F.col("_l") * F.col("_n"), "_t", CHUNK)
+    return upto.filter(F.col("_t") >= half).agg(F.max("_l").alias("n50"))

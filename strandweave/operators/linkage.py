@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TRANS_BIN = 5000
@@ -30,13 +30,13 @@ def linkage(calls: DataFrame) -> DataFrame:
     return t.select("a", "b", "n", F.when(spread > 1e-12, d * d / spread).alias("r2"))
 
 
-def trans_rates(calls: DataFrame, haplotype: DataFrame, rounds: int = 20) -> DataFrame:
+def trans_rates(calls: DataFrame, haplotype: DataFrame, halvings: int = 40) -> DataFrame:
     """``bin``, ``n`` and ``rate``: for fragments of two mates (frag_id, isize, second, varid, allele, qv), how often the
     mates see different haplotypes, per insert-size bin.
 
-    The likelihood of a fragment with both mates on one haplotype, and on different ones, is summed per fragment; the
-    rate of a bin is found by rounds of expectation over the fragments of the bin, whose state is one number per bin.
-    Fragments are first reduced to the rounded ratio of the two likelihoods, so a round reads few rows per bin.
+    The log likelihood of a fragment with both mates on one haplotype, and on different ones, is summed per fragment, so
+    that long fragments do not underflow. Fragments are reduced to the rounded share of the latter; the slope of a bin's
+    likelihood falls with the rate, so its maximum is enclosed by ``halvings`` halvings over few rows per bin.
     """
     e = F.pow(F.lit(10.0), -F.col("qv") / 10.0)
     rows = calls.filter("qv >= 6").join(haplotype, "varid")
@@ -46,15 +46,19 @@ def trans_rates(calls: DataFrame, haplotype: DataFrame, rounds: int = 20) -> Dat
     one = mates.filter(~F.col("second")).select("frag_id", "isize", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
     two = mates.filter("second").select("frag_id", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
     both = one.join(two, "frag_id").filter(F.col("isize").isNotNull())
-    like = lambda x, y: F.pow(F.lit(10.0), F.col("a1") + x) + F.pow(F.lit(10.0), F.col("a2") + y)
-    cis, trans = like(F.col("b1"), F.col("b2")), like(F.col("b2"), F.col("b1"))
-    ratio = F.round(trans / (cis + trans), 4)
+
+    def like(x: str, y: str) -> Column:
+        one, two = F.col("a1") + F.col(x), F.col("a2") + F.col(y)
+        return F.greatest(one, two) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(one - two)))
+
+    ratio = F.round(1 / (1 + F.pow(F.lit(10.0), F.least(like("b1", "b2") - like("b2", "b1"), F.lit(300.0)))), 4)
     weights = both.groupBy(F.floor(F.abs("isize") / TRANS_BIN).alias("bin"), ratio.alias("t")).agg(F.count("*").alias("n"))
     lists = weights.groupBy("bin").agg(F.sum("n").alias("n"), F.collect_list(F.struct("t", "n")).alias("w"))  # at most 10,001 ratios a bin
-    rate = F.lit(0.1)
+    span = F.struct(F.lit(LOWEST).alias("lo"), F.lit(1 - LOWEST).alias("hi"))
 
-    def step(rate, _):
-        share = lambda x: rate * x["t"] / (rate * x["t"] + (1 - rate) * (1 - x["t"]) + 1e-12)
-        return F.greatest(F.lit(LOWEST), F.aggregate("w", F.lit(0.0), lambda s, x: s + x["n"] * share(x)) / F.col("n"))
+    def step(span, _):
+        at = (span["lo"] + span["hi"]) / 2
+        slope = F.aggregate("w", F.lit(0.0), lambda s, x: s + x["n"] * (2 * x["t"] - 1) / (at * x["t"] + (1 - at) * (1 - x["t"])))
+        return F.struct(F.when(slope > 0, at).otherwise(span["lo"]).alias("lo"), F.when(slope > 0, span["hi"]).otherwise(at).alias("hi"))
 
-    return lists.select("bin", "n", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), rate, step).alias("rate"))
+    return lists.select("bin", "n", F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), span, step, lambda s: (s["lo"] + s["hi"]) / 2).alias("rate"))

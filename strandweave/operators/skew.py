@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 BUCKETS = 1024
 
@@ -43,13 +44,20 @@ def weighted_percentiles(freq: DataFrame, points: Sequence[float], bucket: int =
     """``key``, ``point`` and ``value``: the least value with at least ``point`` of the key's non-null rows at or
     below it. Exact.
 
-    Two levels: weights are summed per (key, value div ``bucket``), the bucket that holds each rank is found on those
+    Two levels: weights are summed per key and bucket of values, the bucket that holds each rank is found on those
     sums, and only the values of that bucket are ordered. A window so sees at most the buckets of a key or the
-    values of one bucket.
+    values of one bucket. Whole numbers are put into buckets of ``bucket`` values, others into ``bucket`` for each power
+    of two. NaN counts as no value.
     """
-    known = freq.filter(F.col("key").isNotNull() & F.col("value").isNotNull()).withColumn(
-        "_b", F.floor(F.col("value") / bucket)
-    )
+    v = F.col("value")
+    if isinstance(freq.schema["value"].dataType, (DoubleType, FloatType)):
+        power = F.floor(F.log2(F.abs(v)))
+        spread = F.floor((power + 1100 + F.abs(v) / F.pow(F.lit(2.0), power) - 1) * bucket)
+        number = F.when(v == 0, 0).when(v > 0, spread).otherwise(-spread)
+        freq = freq.filter(~F.isnan("value"))
+    else:
+        number = F.floor(v / bucket)
+    known = freq.filter(F.col("key").isNotNull() & v.isNotNull()).withColumn("_b", number.cast("long"))
     sums = known.groupBy("key", "_b").agg(F.sum("weight").alias("_w"))
     upto = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (

@@ -85,9 +85,9 @@ def site_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads_semi_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads by chromosome, of chromosomes that have sites."""
+    """Reads by chromosome, of chromosomes that have sites. Reads are counted first, so no chromosome's rows meet in a join."""
     with_sites = views.sites(spark, sf_dir).select("chrom").distinct()
-    return views.reads(spark, sf_dir).join(with_sites, "chrom", "left_semi").groupBy("chrom").agg(F.count("*").alias("n_reads"))
+    return views.reads(spark, sf_dir).groupBy("chrom").agg(F.count("*").alias("n_reads")).join(with_sites, "chrom", "left_semi")
 
 
 def mate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def mate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Molecules of each library: reads of one chromosome with gaps of at most 20 kb."""
+    """Molecules: reads of one chromosome with gaps of at most 20 kb. The barcode is the read's name up to its first colon."""
     rows = views.reads(spark, sf_dir, []).select("read_id", "chrom", "start_pos", "end_pos", F.substring_index("read_id", ":", 1).alias("barcode"))
     cut = rangejoin.sessions(cut_lineage(rows), ["barcode", "chrom"], "start_pos", MOLECULE_GAP)
     return cut.groupBy("barcode", "chrom", "session_id").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count("*").alias("n_reads"))

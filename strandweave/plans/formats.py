@@ -46,14 +46,14 @@ def block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a stream: events and values per hour and type."""
+    """The event table as a stream: events and values per hour and type, of the hours that its watermark closes."""
     stream = windows.table_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"), "event_type", "value")
     out = windows.run_to_table(windows.windowed_counts(stream, "at", "event_type", "value", "1 hour"))
     return out.select(F.unix_seconds("start_at").alias("start_at"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a stream: sessions per user with gaps below an hour."""
+    """The event table as a stream: sessions per user with gaps below an hour, of those that its watermark closes."""
     stream = windows.table_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"), "user_id")
     out = windows.run_to_table(windows.session_counts(stream, "at", ["user_id"], "1 hour"))
     return out.select("user_id", F.unix_micros("start_at").alias("start_us"), "n")
@@ -71,7 +71,9 @@ SQL = {
     "fragment_text": f"WITH {views.FRAGMENT_CALLS} SELECT frag_id, varid, allele, qv FROM calls",
     "block_text": f"""WITH {views.FRAGMENT_CALLS}, {haplotypes._EDGES}, {haplotypes._BLOCKS}, {haplotypes._CHAIN}
       SELECT chain.varid, hap AS hap1, 1 - hap AS hap2, chrom, position AS pos FROM chain JOIN readvariant r ON r.varid = chain.varid""",
-    "stream_windows": """SELECT epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS start_at, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""",
+    "stream_windows": """SELECT epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS start_at, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
+      WHERE time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes' FROM events) GROUP BY ALL""",
     "stream_sessions": """WITH f AS (SELECT user_id, epoch_us(ts) AS a, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 3600000000 THEN 0 ELSE 1 END AS x FROM events),
-      g AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY a) AS i FROM f) SELECT user_id, min(a) AS start_us, count(*) AS n FROM g GROUP BY user_id, i""",
+      g AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY a) AS i FROM f) SELECT user_id, min(a) AS start_us, count(*) AS n FROM g GROUP BY user_id, i
+      HAVING max(a) + 3600000000 <= (SELECT epoch_us(date_trunc('milliseconds', max(ts))) - 600000000 FROM events)""",
 }

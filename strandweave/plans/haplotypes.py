@@ -114,6 +114,16 @@ def phase_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fg.phase(calls, cut_lineage(fg.spanning_blocks(calls))).withColumn("confidence", F.round("confidence", 6))
 
 
+LEAST_POSTERIOR = 0.8
+
+
+def refined_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Haplotypes at a maximum of the likelihood, with each variant's posterior; those below 0.8 are ``pruned``."""
+    calls = cut_lineage(views.calls(spark, sf_dir))
+    hap = fg.refine(calls, fg.phase(calls, cut_lineage(fg.spanning_blocks(calls))))
+    return hap.withColumn("posterior", F.round("posterior", 6)).withColumn("pruned", F.col("posterior") < LEAST_POSTERIOR)
+
+
 def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A given haplotype: that of the genotype text, first allele."""
     return _variants(spark, sf_dir).select("varid", F.when(F.col("gt").startswith("1"), 1).otherwise(0).alias("hap"))
@@ -127,6 +137,25 @@ def discrete_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fg.support(views.calls(spark, sf_dir), _fixed(spark, sf_dir))
 
 
+def flip_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What flipping each variant adds to the likelihood of the fragments, and the posterior of its given phase."""
+    gains = fg.flip_gains(cut_lineage(views.calls(spark, sf_dir)), _fixed(spark, sf_dir))
+    return gains.select("varid", (F.round("gain", 4) + 0.0).alias("gain"), F.round("posterior", 4).alias("posterior"))
+
+
+def switch_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What flipping a block from each variant on adds to the likelihood of the fragments."""
+    calls = cut_lineage(views.calls(spark, sf_dir))
+    hap = fg.spanning_blocks(calls).join(_fixed(spark, sf_dir), "varid")
+    return fg.switch_gains(calls, cut_lineage(hap)).withColumn("gain", F.round("gain", 4) + 0.0)
+
+
+def block_an50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N50 of the blocks' spans, each reduced to the share of its variants that are phased."""
+    spans = block_summary(spark, sf_dir).select(F.floor(F.col("span") * F.col("phased") / F.col("len")).alias("span"))
+    return fg.half_length(spans, "span").withColumnRenamed("n50", "an50")
+
+
 def switch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chained haplotype against that of the genotype text."""
     hap = cut_lineage(chain_phase(spark, sf_dir))
@@ -138,7 +167,7 @@ QUERIES = {
     for f in (
         variant_classes, natural_variant_order, variants_in_reads, variant_lookup, mate_merge_calls, barcode_molecules, fragment_runs,
         variant_edges_path, variant_edges_clique, allele_depth, mean_calls, spanning_blocks, block_summary, block_n50, chain_phase,
-        phase_blocks, fragment_loglik, discrete_prune, switch_errors,
+        phase_blocks, refined_blocks, fragment_loglik, discrete_prune, flip_posteriors, switch_gains, block_an50, switch_errors,
     )
 }
 
@@ -157,6 +186,12 @@ _CHAIN = """od AS (SELECT varid, block_id, lag(varid) OVER (PARTITION BY block_i
     FROM od LEFT JOIN edges ON a = prev AND b = varid)"""
 _FIXED = "h AS (SELECT varid, CASE WHEN starts_with(gt, '1') THEN 1 ELSE 0 END AS hap FROM v)"
 
+_LIKELIHOODS = """h AS (SELECT varid, CASE WHEN starts_with(gt, '1') THEN 1 ELSE 0 END AS hap FROM v),
+  r AS (SELECT frag_id, calls.varid, allele = hap AS fit, pow(10.0, -qv / 10.0) AS e FROM calls JOIN h ON h.varid = calls.varid WHERE qv >= 6),
+  sd AS (SELECT *, CASE WHEN fit THEN log10(e / (1 - e)) ELSE -log10(e / (1 - e)) END AS d,
+    sum(log10(CASE WHEN fit THEN 1 - e ELSE e END)) OVER (PARTITION BY frag_id) AS x, sum(log10(CASE WHEN fit THEN e ELSE 1 - e END)) OVER (PARTITION BY frag_id) AS y FROM r)"""
+_LOG_SUM = "(greatest({0}, {1}) + log10(1 + pow(10.0, -abs(({0}) - ({1})))))"
+
 SQL = {
     "variant_classes": f"""WITH {_V}, c AS (SELECT replace(gt, '|', '/') AS g, length(ref_allele) = length(split_part(alt_allele, ',', 1)) AS eq,
       upper(ref_allele || alt_allele) IN ('CT', 'TC', 'GA', 'AG') AS bs FROM v WHERE filter_tag = 'PASS')
@@ -196,6 +231,23 @@ SQL = {
     "fragment_loglik": f"""WITH {_V}, {views.FRAGMENT_CALLS}, {_FIXED}, r AS (SELECT frag_id, allele = hap AS fit, pow(10.0, -qv / 10.0) AS e FROM calls JOIN h ON h.varid = calls.varid WHERE qv >= 6),
       s AS (SELECT frag_id, sum(log10(CASE WHEN fit THEN 1 - e ELSE e END)) AS x, sum(log10(CASE WHEN fit THEN e ELSE 1 - e END)) AS y FROM r GROUP BY frag_id)
       SELECT frag_id, round(greatest(x, y) + log10(pow(10.0, x - greatest(x, y)) + pow(10.0, y - greatest(x, y))), 6) + 0.0 AS ll FROM s""",
+    "flip_posteriors": f"""WITH {_V}, {views.FRAGMENT_CALLS}, {_LIKELIHOODS}, g AS (SELECT varid, sum({_LOG_SUM.format('x + d', 'y - d')} - {_LOG_SUM.format('x', 'y')}) AS gain
+      FROM sd GROUP BY varid) SELECT varid, round(gain, 4) + 0.0 AS gain, round(1 / (1 + pow(10.0, least(gain, 300.0))), 4) AS posterior FROM g""",
+    "switch_gains": f"""WITH {_V}, {views.FRAGMENT_CALLS}, {_BLOCKS}, {_LIKELIHOODS},
+      nx AS (SELECT *, lead(varid) OVER w AS nxt, sum(d) OVER (PARTITION BY frag_id ORDER BY varid ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS z
+        FROM sd WINDOW w AS (PARTITION BY frag_id ORDER BY varid)),
+      cuts AS (SELECT varid, nxt, {_LOG_SUM.format('x + z', 'y - z')} - {_LOG_SUM.format('x', 'y')} AS g FROM nx WHERE nxt IS NOT NULL)
+      SELECT b.block_id, b.varid, round(coalesce(sum(g), 0.0), 4) + 0.0 AS gain FROM blocks b JOIN h ON h.varid = b.varid
+      LEFT JOIN cuts c ON c.varid < b.varid AND b.varid <= c.nxt GROUP BY b.block_id, b.varid""",
+    "block_an50": f"""WITH {_V}, {views.FRAGMENT_CALLS}, {_BLOCKS}, {_SUMMARY}, s AS (SELECT floor(span * phased / len)::BIGINT AS span FROM summary),
+      t AS (SELECT span, sum(span) OVER (ORDER BY span DESC) AS t, sum(span) OVER () AS a FROM s WHERE span > 0) SELECT max(span) AS an50 FROM t WHERE t >= a / 2""",
+    "switch_errors": f"""WITH {_V}, {views.FRAGMENT_CALLS}, {_EDGES}, {_BLOCKS}, {_CHAIN}, {_FIXED},
+      x AS (SELECT block_id, chain.varid, CASE WHEN chain.hap <> h.hap THEN 1 ELSE 0 END AS x FROM chain JOIN h ON h.varid = chain.varid),
+      c AS (SELECT *, CASE WHEN x <> lag(x) OVER w THEN 1 ELSE 0 END AS c, lead(x) OVER w IS NULL AS l FROM x WINDOW w AS (PARTITION BY block_id ORDER BY varid)),
+      r AS (SELECT *, sum(1 - c) OVER (PARTITION BY block_id ORDER BY varid) AS r FROM c),
+      n AS (SELECT block_id, r, count(*) AS n, bool_or(l) AS l FROM r WHERE c = 1 GROUP BY block_id, r),
+      p AS (SELECT block_id, sum(CASE WHEN l THEN 0 ELSE n % 2 END)::BIGINT AS s, sum(n // 2 + CASE WHEN l THEN n % 2 ELSE 0 END)::BIGINT AS m FROM n GROUP BY block_id)
+      SELECT x.block_id, count(*) AS compared, coalesce(any_value(s), 0) AS switches, coalesce(any_value(m), 0) AS mismatches FROM x LEFT JOIN p ON p.block_id = x.block_id GROUP BY x.block_id""",
     "discrete_prune": f"""WITH {_V}, {views.FRAGMENT_CALLS}, {_FIXED}, r AS (SELECT frag_id, calls.varid, CASE WHEN allele = hap THEN 1 ELSE -1 END AS f FROM calls JOIN h ON h.varid = calls.varid),
       s AS (SELECT *, sum(f) OVER (PARTITION BY frag_id) AS side FROM r)
       SELECT varid, count(*) FILTER (f * side > 0) AS n_for, count(*) FILTER (f * side < 0) AS n_against,

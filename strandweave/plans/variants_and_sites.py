@@ -161,6 +161,21 @@ SQL = {
       c AS (SELECT chrom, s, bases, unnest(range(length(bases))) AS i FROM b), d AS (SELECT chrom, s + i AS pos, bases[i + 1] AS x FROM c)
       SELECT chrom, pos, count(*) AS depth, count(*) FILTER (x = 'A') AS a, count(*) FILTER (x = 'C') AS c, count(*) FILTER (x = 'G') AS g,
         count(*) FILTER (x = 'T') AS t FROM d GROUP BY chrom, pos HAVING count(*) >= 2""",
+    "trans_rates": f"""WITH RECURSIVE h AS (SELECT varid, CASE WHEN starts_with(gt, '1') THEN 1 ELSE 0 END AS hap FROM readvariant
+        WHERE varid IS NOT NULL AND chrom IS NOT NULL AND position IS NOT NULL),
+      c AS (SELECT frag_id, mate2_ix, isize, unnest(alist) AS c FROM hapfragments WHERE dtype = 1 AND mate2_ix >= 0 AND frag_id IS NOT NULL),
+      k AS (SELECT DISTINCT frag_id, isize, c.varid >= mate2_ix AS second, c.varid AS varid, c.allele::INT AS allele, c.qv AS qv FROM c
+        WHERE c.allele IN ('0', '1') AND c.varid IS NOT NULL AND c.qv IS NOT NULL),
+      r AS (SELECT frag_id, second, isize, allele = hap AS fit, pow(10.0, -qv / 10.0) AS e FROM k JOIN h ON h.varid = k.varid WHERE qv >= 6),
+      m AS (SELECT frag_id, second, max(isize) AS isize, sum(log10(CASE WHEN fit THEN 1 - e ELSE e END)) AS x, sum(log10(CASE WHEN fit THEN e ELSE 1 - e END)) AS y FROM r GROUP BY ALL),
+      b AS (SELECT a.isize, a.x AS a1, a.y AS a2, d.x AS b1, d.y AS b2 FROM m a JOIN m d ON a.frag_id = d.frag_id AND NOT a.second AND d.second WHERE a.isize IS NOT NULL),
+      l AS (SELECT isize, {haplotypes._LOG_SUM.format('a1 + b1', 'a2 + b2')} AS cis, {haplotypes._LOG_SUM.format('a1 + b2', 'a2 + b1')} AS trans FROM b),
+      t AS (SELECT (abs(isize) // 5000)::BIGINT AS bin, round(1 / (1 + pow(10.0, least(cis - trans, 300.0))), 4) AS t, count(*) AS n FROM l GROUP BY ALL),
+      w AS (SELECT bin, sum(n)::BIGINT AS n, list({{'t': t, 'n': n}}) AS w FROM t GROUP BY bin),
+      s AS (SELECT bin, n, w, 0 AS i, 1e-4 AS lo, 1 - 1e-4 AS hi FROM w UNION ALL
+        SELECT bin, n, w, i + 1, CASE WHEN z > 0 THEN mid ELSE lo END, CASE WHEN z > 0 THEN hi ELSE mid END FROM (SELECT *, (lo + hi) / 2 AS mid,
+          list_sum(list_transform(w, lambda q: q.n * (2 * q.t - 1) / ((lo + hi) / 2 * q.t + (1 - (lo + hi) / 2) * (1 - q.t)))) AS z FROM s WHERE i < 40))
+      SELECT bin, n, round((lo + hi) / 2, 6) AS rate FROM s WHERE i = 40""",
     "variant_linkage": f"""WITH {views.FRAGMENT_CALLS}, x AS (SELECT varid AS a, lead(varid) OVER w AS b, allele AS x, lead(allele) OVER w AS y FROM calls WINDOW w AS (PARTITION BY frag_id ORDER BY varid)),
       t AS (SELECT a, b, count(*) AS n, avg(x) AS p, avg(y) AS q, avg(x * y) AS pq FROM x WHERE b IS NOT NULL GROUP BY a, b)
       SELECT a, b, n, CASE WHEN p * (1 - p) * q * (1 - q) > 1e-12 THEN round((pq - p * q) * (pq - p * q) / (p * (1 - p) * q * (1 - q)), 6) END AS r2 FROM t""",

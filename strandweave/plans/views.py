@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions import reads as fr
+from strandweave.operators.fragments import merge_mates
 from strandweave.operators.sites import latest
 from strandweave.session import read_table
 
@@ -92,12 +93,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("frag_id", "c.varid", F.col("c.allele").cast("int").alias("allele"), "c.qv")
         .join(read_table(spark, sf_dir, "readvariant").select("varid"), "varid", "left_semi")
     )
-    return (
-        rows.groupBy("frag_id", "varid")
-        .agg(F.min("allele").alias("allele"), F.max("allele").alias("_other"), F.max("qv").alias("qv"))
-        .filter("allele = _other")
-        .drop("_other")
-    )
+    return merge_mates(rows)
 
 
 FRAGMENT_CALLS = """calls AS (SELECT frag_id, c.varid AS varid, min(c.allele::INT) AS allele, max(c.qv) AS qv

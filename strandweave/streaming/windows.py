@@ -46,14 +46,16 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def run_to_table(result: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and gives its last result as a table in the shared folder."""
+def run_to_table(result: DataFrame, base: str | None = None) -> DataFrame:
+    """Runs a stream over what is there, adding rows as the watermark closes their windows, and gives the rows as a table
+    in the shared folder. A stream with the same ``base`` goes on where it stopped. A batch that is run again after a
+    failure replaces its own folder, so no row comes twice; windows that are still open stay in the state."""
     spark = result.sparkSession
-    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/{number}")
 
-    query = result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query = result.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{base}/out")
+    return spark.read.schema(result.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")

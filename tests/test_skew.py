@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from strandweave.operators import skew
@@ -33,3 +35,12 @@ def test_empty_and_all_null_values(spark):
     assert skew.summarize_keys(freq).count() == skew.heavy_keys(freq, 0.05).count() == 0
     one = skew.summarize_keys(skew.value_frequencies(spark.createDataFrame([("a", None)], "k string, v long"), "k", "v")).first()
     assert (one.n_rows, one.n_values, one.total, one["mode"]) == (1, 0, None, None)
+
+
+def test_percentiles_of_fractions(spark):
+    values = [i / 977 for i in range(-300, 700)] + [1e-300, -1e300, 5.0, 0.0, float("nan")]
+    df = spark.createDataFrame([("a", v) for v in values for _ in range(2)] + [("a", None)], "k string, v double")
+    known = sorted(v for v in values if v == v)
+    got = {r.point: r.value for r in skew.weighted_percentiles(skew.value_frequencies(df, "k", "v"), [0.1, 0.5, 0.999], bucket=16).collect()}
+    twice = [v for v in known for _ in range(2)]
+    assert got == {p: twice[math.ceil(p * len(twice)) - 1] for p in (0.1, 0.5, 0.999)}

@@ -125,3 +125,18 @@ def test_late_rows_are_dropped_and_mates_meet(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("m").filter("k = 'a'").count() >= 4
+
+
+def test_a_table_of_a_stream_has_no_late_and_no_repeated_rows(spark, tmp_path):
+    path, base = str(tmp_path / "in"), str(tmp_path / "run")
+
+    def run(*rows):
+        df = spark.createDataFrame([(r[0], r[1], 1.0) for r in rows], "at string, k string, v double")
+        df.select(F.to_timestamp("at").alias("at"), "k", "v").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("at timestamp, k string, v double").parquet(path)
+        out = windows.run_to_table(windows.windowed_counts(stream, "at", "k", "v", "1 minute"), base)
+        return sorted((str(r.start_at)[11:16], r.k, r.n) for r in out.collect())
+
+    assert run(("2024-01-01 00:00:10", "a"), ("2024-01-01 00:00:50", "a"), ("2024-01-01 00:40:00", "b")) == [("00:00", "a", 2)]
+    late = run(("2024-01-01 00:00:20", "a"), ("2024-01-01 00:40:30", "b"), ("2024-01-01 02:00:00", "b"))
+    assert late == [("00:00", "a", 2), ("00:40", "b", 2)]
