@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandweave.plans import alignments, formats, haplotypes, methylation, problems, variants_and_sites
+from strandweave.plans import alignments, formats, haplotypes, methylation, problems, states, variants_and_sites
 
-MODULES = (problems, methylation, alignments, haplotypes, variants_and_sites, formats)
+MODULES = (problems, methylation, alignments, states, haplotypes, variants_and_sites, formats)
 FLAGSHIP = "pair_tests"
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
