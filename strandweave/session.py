@@ -24,6 +24,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new name in the shared checkpoint folder, deleted with the session's JVM."""
+    name = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    fs, path = _path(spark, name)
+    fs.deleteOnExit(path)
+    return name
+
+
 def _path(spark: SparkSession, name: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
@@ -36,10 +44,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     earlier plans, which the optimizer then multiplies. The table goes with ``release`` or with the session's JVM.
     """
     spark = df.sparkSession
-    name = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    name = shared_path(spark, "cut")
     df.write.parquet(name)
-    fs, path = _path(spark, name)
-    fs.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(name)
     out._cut_name = name
     return out

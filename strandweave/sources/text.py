@@ -5,11 +5,13 @@ Lines are split and typed by expressions; nothing here runs row by row in Python
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.operators.intervals import covered_heads
-from strandweave.operators.rangejoin import running_total
+from strandweave.operators.rangejoin import previous, running_total
 
 METHRATIO = (
     ("chrom", "string"), ("pos", "int"), ("strand", "string"), ("context", "string"), ("c_count", "int"), ("coverage", "int"),
@@ -28,21 +30,31 @@ LINES = 1 << 16
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.text(paths)
+    """Lines of files with the file (``_file``) and the place in it (``_at``) of the split they come from."""
+    return spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+
+
+def write_lines(lines: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Writes ``value`` as text, in a folder for each value of the columns ``by``."""
+    lines.select("value", *by).write.partitionBy(*by).text(path)
 
 
 def number_lines(lines: DataFrame, name: str = "line_no") -> DataFrame:
-    """Lines with their number from 1 on, in the order of the files' splits.
+    """Lines with their number from 1 on, in the order of the files' names and places in them; of lines that come from no
+    file, in that of their partitions.
 
     Rows are counted per split, and the splits before it are added: one small row per split, no sort of all lines.
     """
-    marked = lines.withColumn("_id", F.monotonically_increasing_id()).withColumn("_split", F.shiftright("_id", 33))
-    counts = marked.groupBy("_split").agg(F.count("*").alias("_n"))
+    if "_file" not in lines.columns:
+        lines = lines.withColumns({"_file": F.lit(""), "_at": F.shiftright(F.monotonically_increasing_id(), 33)})
+    marked = lines.withColumn("_id", F.monotonically_increasing_id())
+    counts = marked.groupBy("_file", "_at").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = counts.select(
-        F.col("_split").alias("_s"), F.coalesce(F.sum("_n").over(Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
-    )
-    local = F.col("_id") - F.shiftleft(F.col("_split").cast("long"), 33)
-    return marked.join(before, F.col("_split") == F.col("_s")).withColumn(name, F.col("_before") + local + 1).drop("_id", "_split", "_s", "_before")
+        F.col("_file").alias("_f"), F.col("_at").alias("_a"), "_first",
+        F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+    )
+    met = marked.join(before, (F.col("_file") == F.col("_f")) & (F.col("_at") == F.col("_a")))
+    return met.withColumn(name, F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_id", "_file", "_at", "_f", "_a", "_first", "_before")
 
 
 def _columns(parts: Column, fields: tuple, start: int = 0) -> list[Column]:
@@ -63,14 +75,16 @@ def methratio_lines(rows: DataFrame) -> DataFrame:
 
 
 def parse_sam(lines: DataFrame) -> DataFrame:
-    """Alignment lines with the tags ``nm`` (mismatches) and ``meth_state``; header lines are left out."""
+    """Alignment lines with the tags ``nm`` (mismatches), ``meth_state``, ``yc`` and ``yd`` (conversion and direction); header lines are
+    left out."""
     rows = lines.filter(~F.col("value").startswith("@") & (F.col("value") != "")).select(F.split("value", "\t").alias("p"))
     tag = lambda prefix: F.get(F.filter(F.slice("p", 12, 1000), lambda t: t.startswith(prefix)), F.lit(0))
-    return rows.select(*_columns(F.col("p"), SAM), F.substring(tag("NM:i:"), 6, 1 << 30).try_cast("int").alias("nm"), F.substring(tag("MD:Z:"), 6, 1 << 30).alias("meth_state"))
+    return rows.select(*_columns(F.col("p"), SAM), F.substring(tag("NM:i:"), 6, 1 << 30).try_cast("int").alias("nm"), F.substring(tag("MD:Z:"), 6, 1 << 30).alias("meth_state"), F.substring(tag("YC:Z:"), 6, 1 << 30).alias("yc"), F.substring(tag("YD:Z:"), 6, 1 << 30).alias("yd"))
 
 
 def sam_lines(rows: DataFrame) -> DataFrame:
     tags = [F.concat(F.lit("NM:i:"), F.col("nm").cast("string")), F.concat(F.lit("MD:Z:"), F.col("meth_state"))]
+    tags += [F.concat(F.lit(f"{n.upper()}:Z:"), F.col(n)) for n in ("yc", "yd") if n in rows.columns]
     return rows.select(F.concat_ws("\t", _joined(*[n for n, _ in SAM], missing="*"), *tags).alias("value"))
 
 
@@ -82,9 +96,10 @@ def parse_vcf(lines: DataFrame) -> DataFrame:
     return fields.withColumn("gt", F.when(at > 0, F.get(F.split("sample", ":"), at - 1)))
 
 
-def vcf_lines(rows: DataFrame) -> DataFrame:
+def vcf_lines(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Variant lines, with the columns ``keep`` beside them."""
     empty = F.lit(".")
-    return rows.select(_joined("chrom", "position", empty, "ref_allele", "alt_allele", "qual", "filter_tag", empty, F.lit("GT"), "gt").alias("value"))
+    return rows.select(*keep, _joined("chrom", "position", empty, "ref_allele", "alt_allele", "qual", "filter_tag", empty, F.lit("GT"), "gt").alias("value"))
 
 
 def parse_fragments(lines: DataFrame) -> DataFrame:
@@ -117,6 +132,12 @@ def fragment_lines(runs: DataFrame) -> DataFrame:
     return runs.select(F.concat_ws(" ", F.col("n_blocks").cast("string"), "frag_id", "runs", "quals").alias("value"))
 
 
+def fragment_lines_new(runs: DataFrame) -> DataFrame:
+    """Lines of the new form from ``fragment_runs`` with dtype, mate2_ix and isize."""
+    extra = [F.coalesce(F.col(c), F.lit(d)).cast("string") for c, d in (("dtype", 0), ("mate2_ix", -1), ("isize", -1))]
+    return runs.select(F.concat_ws(" ", F.col("n_blocks").cast("string"), "frag_id", *extra, "runs", "quals").alias("value"))
+
+
 def parse_blocks(lines: DataFrame) -> DataFrame:
     """Haplotype block files as one row per variant: block (counted from 1), varid, hap1, hap2, chrom, pos, ref, alt, gt,
     mismatch_q. Header and separator lines are left out; the header starts a block."""
@@ -130,7 +151,8 @@ def parse_blocks(lines: DataFrame) -> DataFrame:
 
 def block_lines(rows: DataFrame) -> DataFrame:
     """Block files from phased rows (block_id, varid, hap, chrom, pos, ref, alt, gt, mismatch_q) with ``block_line`` for
-    their order: sorted by block, the header first and a separator last."""
+    their order: sorted by block, the header first and a separator last. Blocks are put into ranges, and a file holds
+    those of one range."""
     body = rows.select(
         F.col("block_id"), F.lit(1).alias("_k"), F.col("varid").alias("_v"),
         _joined("varid", "hap", 1 - F.col("hap"), "chrom", "pos", "ref", "alt", "gt", F.lit(0), F.lit("."), F.format_string("%.2f", F.col("mismatch_q"))).alias("value"),
@@ -141,7 +163,104 @@ def block_lines(rows: DataFrame) -> DataFrame:
         F.concat(F.lit("BLOCK: offset: "), "o", F.lit(" len: "), "l", F.lit(" phased: "), "n", F.lit(" SPAN: "), "s").alias("value"),
     )
     tail = shape.select("block_id", F.lit(2).alias("_k"), F.lit(0).cast("long").alias("_v"), F.lit(SEPARATOR).alias("value"))
-    return head.unionByName(body).unionByName(tail).orderBy("block_id", "_k", "_v").select("value")
+    return _in_ranges(head.unionByName(body).unionByName(tail), "block_id", ["block_id", "_k", "_v"])
+
+
+def _in_ranges(rows: DataFrame, by: str | Sequence[str], order: Sequence[str]) -> DataFrame:
+    by = [by] if isinstance(by, str) else list(by)
+    return rows.repartitionByRange(*by).sortWithinPartitions(*order).select("value")
+
+
+def merged_lines(rows: DataFrame) -> DataFrame:
+    """Merged haplotype files from rows (block_id, chrom, pos, hap1, hap2, source): a header for each block."""
+    body = rows.select("block_id", F.lit(1).alias("_k"), F.col("pos").cast("long").alias("_v"), _joined("chrom", "pos", "hap1", "hap2", "source").alias("value"))
+    shape = rows.groupBy("block_id", "chrom").agg(F.min("pos").alias("s"), F.max("pos").alias("e"))
+    head = shape.select("block_id", F.lit(0).alias("_k"), F.lit(0).cast("long").alias("_v"), _joined(F.lit("#Block"), "chrom", "s", "e").alias("value"))
+    return _in_ranges(head.unionByName(body), "block_id", ["block_id", "_k", "_v"])
+
+
+def phased_vcf_lines(rows: DataFrame) -> DataFrame:
+    """Variant lines with the phase and the block in the sample: rows with hap and block_id (null where not phased)."""
+    empty, hap = F.lit("."), F.col("hap")
+    phase = F.when(F.col("block_id").isNotNull(), F.concat_ws(":", F.concat_ws("|", hap.cast("string"), (1 - hap).cast("string")), F.col("block_id").cast("string")))
+    sample = F.concat_ws(":", F.coalesce("gt", empty), F.coalesce(phase, empty))
+    return rows.select(_joined("chrom", "position", empty, "ref_allele", "alt_allele", "qual", "filter_tag", empty, F.lit("GT:SP"), sample).alias("value"))
+
+
+PAIR = (
+    ("chrom", "string"), ("strand", "string"), ("c1", "long"), ("c2", "long"), ("mm", "long"), ("mu", "long"), ("um", "long"), ("uu", "long"), ("p", "double"),
+)
+
+
+def pair_lines(pairs: DataFrame, bin_width: int = 1 << 18) -> DataFrame:
+    """Pair tables in order, with a line of asterisks where a pair does not begin at the site with which the one before ends."""
+    keys = ["chrom", "strand"]
+    rows = previous(pairs, keys, "c1", "c2", "_p", bin_width).withColumn("_b", F.floor(F.col("c1") / bin_width))
+    each = rows.select(
+        *keys, "_b", "c1", F.inline(F.array(
+            F.struct(F.lit(0).alias("_k"), F.when(F.col("_p") != F.col("c1"), "*" * 6).alias("value")),
+            F.struct(F.lit(1).alias("_k"), _joined(*[n for n, _ in PAIR]).alias("value")),
+        ))
+    )
+    return _in_ranges(each.filter(F.col("value").isNotNull()), [*keys, "_b"], [*keys, "c1", "_k"])
+
+
+def parse_pairs(lines: DataFrame) -> DataFrame:
+    rows = lines.filter(~F.col("value").rlike("^[*#]") & (F.col("value") != "")).select(F.split("value", "\t").alias("p"))
+    return rows.select(*_columns(F.col("p"), PAIR))
+
+
+REGION = (("chrom", "string"), ("start_pos", "long"), ("end_pos", "long"), ("label", "string"), ("n_sites", "long"))
+
+
+def region_lines(regions: DataFrame, kind: str = "bed") -> DataFrame:
+    """Regions as lines: ``bed`` (label and sites behind), ``bed4`` and ``ped3`` (strand behind), ``gtf`` or ``gff``."""
+    if kind == "bed":
+        return regions.select(_joined(*[n for n, _ in REGION]).alias("value"))
+    if kind in ("bed4", "ped3"):
+        return regions.select(_joined("chrom", "start_pos", *(["end_pos"] if kind == "bed4" else []), "strand").alias("value"))
+    name = F.concat(F.lit('gene_id "'), "region_id", F.lit('";')) if kind == "gtf" else F.concat(F.lit("ID="), "region_id", F.lit(";"))
+    dot = F.lit(".")
+    return regions.select(_joined("chrom", dot, F.lit("region"), "start_pos", "end_pos", dot, "strand", dot, name).alias("value"))
+
+
+def parse_bed(lines: DataFrame) -> DataFrame:
+    return lines.filter(F.col("value") != "").select(F.split("value", "\t").alias("p")).select(*_columns(F.col("p"), REGION))
+
+
+def wig_lines(rows: DataFrame, bin_width: int = 1 << 18) -> DataFrame:
+    """Variable-step tracks of rows (chrom, pos, level): a header before each range of positions of a chromosome."""
+    placed = rows.withColumn("_b", F.floor(F.col("pos") / bin_width))
+    head = placed.select("chrom", "_b").distinct().select("chrom", "_b", F.lit(0).alias("_v"), F.concat(F.lit("variableStep chrom="), "chrom").alias("value"))
+    body = placed.select("chrom", "_b", F.col("pos").cast("int").alias("_v"), F.concat_ws(" ", F.col("pos").cast("string"), F.format_string("%.6f", "level")).alias("value"))
+    return _in_ranges(head.unionByName(body), ["chrom", "_b"], ["chrom", "_b", "_v"])
+
+
+def parse_wig(lines: DataFrame) -> DataFrame:
+    """``chrom``, ``pos`` and ``level`` of variable-step tracks: each line belongs to the last header before it."""
+    head = F.col("value").startswith("variableStep")
+    numbered = running_total(number_lines(lines), [], "line_no", head.cast("int"), "_h", LINES)
+    heads = numbered.filter(head).select(F.col("_h").alias("_n"), F.regexp_extract("value", r"chrom=(\S+)", 1).alias("chrom"))
+    rows = numbered.filter(~head).select("_h", F.split("value", " ").alias("p")).join(heads, F.col("_h") == F.col("_n"))
+    return rows.select("chrom", F.get("p", F.lit(0)).try_cast("int").alias("pos"), F.get("p", F.lit(1)).try_cast("double").alias("level"))
+
+
+def rate_lines(rates: DataFrame, width: int) -> DataFrame:
+    """Rates of distant mates per insert-size bin: its bounds and the rate."""
+    lo = F.col("bin") * width
+    return rates.select(F.concat_ws("\t", F.concat_ws("-", lo.cast("string"), (lo + width).cast("string")), F.col("rate").cast("string")).alias("value"))
+
+
+def parse_rates(lines: DataFrame, width: int) -> DataFrame:
+    p = F.split("value", "\t")
+    lo = F.substring_index(F.get(p, F.lit(0)), "-", 1).try_cast("long")
+    return lines.select(F.floor(lo / width).alias("bin"), F.get(p, F.lit(1)).try_cast("double").alias("rate")).filter(F.col("bin").isNotNull())
+
+
+def fasta_lines(rows: DataFrame, width: int = 60) -> DataFrame:
+    """Records of rows (chrom, seq), each as one value with its line ends."""
+    wrapped = F.rtrim(F.regexp_replace("seq", f"(.{{{width}}})", "$1\n"), F.lit("\n"))
+    return rows.select(F.concat(F.lit(">"), "chrom", F.lit("\n"), wrapped).alias("value"))
 
 
 def parse_merged(lines: DataFrame) -> DataFrame:
@@ -178,7 +297,7 @@ def read_fasta(spark: SparkSession, paths: str | list[str], chunk: int = 1 << 16
     Lines are numbered and placed by the lengths before them within their record, chunk by chunk.
     """
     head = F.col("value").startswith(">")
-    lines = running_total(number_lines(spark.read.text(paths)), [], "line_no", head.cast("int"), "_record", LINES)
+    lines = running_total(number_lines(read_lines(spark, paths)), [], "line_no", head.cast("int"), "_record", LINES)
     heads = lines.filter(head).select(F.col("_record").alias("_r"), F.regexp_extract("value", r"^>(\S+)", 1).alias("chrom"))
     rows = lines.filter(~head).join(heads, F.col("_record") == F.col("_r"))
     rows = rows.select("chrom", F.col("line_no").alias("n"), F.upper(F.trim("value")).alias("s")).withColumn("_c", F.floor(F.col("n") / 4096))

@@ -140,3 +140,34 @@ def test_a_table_of_a_stream_has_no_late_and_no_repeated_rows(spark, tmp_path):
     assert run(("2024-01-01 00:00:10", "a"), ("2024-01-01 00:00:50", "a"), ("2024-01-01 00:40:00", "b")) == [("00:00", "a", 2)]
     late = run(("2024-01-01 00:00:20", "a"), ("2024-01-01 00:40:30", "b"), ("2024-01-01 02:00:00", "b"))
     assert late == [("00:00", "a", 2), ("00:40", "b", 2)]
+
+
+def test_lines_are_numbered_in_the_order_of_files_and_places(spark, tmp_path):
+    for name, n in (("b", 500), ("a", 3), ("c", 40)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i:04d}\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    try:
+        rows = text.number_lines(text.read_lines(spark, str(tmp_path))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [f"{name}{i:04d}" for name, n in (("a", 3), ("b", 500), ("c", 40)) for i in range(n)]
+    assert [r.value for r in sorted(rows, key=lambda r: r.line_no)] == want and [r.line_no for r in sorted(rows, key=lambda r: r.line_no)] == list(range(1, 544))
+
+
+def test_pair_files_break_where_pairs_do_not_follow(spark, tmp_path):
+    rows = [("c", "+", a, b, 1, 0, 0, 2, 0.5) for a, b in ((1, 4), (4, 9), (11, 15), (15, 300_000), (300_000, 300_004), (300_009, 300_010))] + [("c", "-", 1, 4, 1, 0, 0, 2, None)]
+    df = spark.createDataFrame(rows, "chrom string, strand string, c1 long, c2 long, mm long, mu long, um long, uu long, p double")
+    path = str(tmp_path / "pairs")
+    text.write_lines(text.pair_lines(df), path)
+    lines = [r.value for r in sorted(text.number_lines(text.read_lines(spark, path)).collect(), key=lambda r: r.line_no)]
+    assert [(x.split("\t") + [""] * 3)[2] for x in lines if "\t-" not in x] == ["1", "4", "", "11", "15", "300000", "", "300009"]
+    assert sorted(map(str, text.parse_pairs(text.read_lines(spark, path)).collect())) == sorted(map(str, df.collect()))
+
+
+def test_tracks_keep_their_chromosomes(spark, tmp_path):
+    df = spark.createDataFrame([(c, p, p % 7 / 7) for c in ("c", "d") for p in (1, 5, 299_999, 300_000, 900_000)], "chrom string, pos int, level double")
+    path = str(tmp_path / "wig")
+    text.write_lines(text.wig_lines(df), path)
+    got = {(r.chrom, r.pos): r.level for r in text.parse_wig(text.read_lines(spark, path)).collect()}
+    assert got == {(r.chrom, r.pos): round(r.level, 6) for r in df.collect()}
