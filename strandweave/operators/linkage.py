@@ -30,14 +30,8 @@ def linkage(calls: DataFrame) -> DataFrame:
     return t.select("a", "b", "n", F.when(spread > 1e-12, d * d / spread).alias("r2"))
 
 
-def trans_rates(calls: DataFrame, haplotype: DataFrame, halvings: int = 40) -> DataFrame:
-    """``bin``, ``n`` and ``rate``: for fragments of two mates (frag_id, isize, second, varid, allele, qv), how often the
-    mates see different haplotypes, per insert-size bin.
-
-    The log likelihood of a fragment with both mates on one haplotype, and on different ones, is summed per fragment, so
-    that long fragments do not underflow. Fragments are reduced to the rounded share of the latter; the slope of a bin's
-    likelihood falls with the rate, so its maximum is enclosed by ``halvings`` halvings over few rows per bin.
-    """
+def _both_cases(calls: DataFrame, haplotype: DataFrame) -> DataFrame:
+    """``frag_id``, ``isize`` and the log10 likelihoods ``cis`` and ``trans`` of fragments with calls of both mates."""
     e = F.pow(F.lit(10.0), -F.col("qv") / 10.0)
     rows = calls.filter("qv >= 6").join(haplotype, "varid")
     fits = F.col("allele") == F.col("hap")
@@ -46,12 +40,33 @@ def trans_rates(calls: DataFrame, haplotype: DataFrame, halvings: int = 40) -> D
     one = mates.filter(~F.col("second")).select("frag_id", "isize", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
     two = mates.filter("second").select("frag_id", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
     both = one.join(two, "frag_id").filter(F.col("isize").isNotNull())
+    like = lambda x, y: log_sum(F.col("a1") + F.col(x), F.col("a2") + F.col(y))
+    return both.select("frag_id", "isize", like("b1", "b2").alias("cis"), like("b2", "b1").alias("trans"))
+
+
+def log_sum(a: Column, b: Column) -> Column:
+    """log10(10**a + 10**b)."""
+    return F.greatest(a, b) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(a - b)))
 
-    def like(x: str, y: str) -> Column:
-        one, two = F.col("a1") + F.col(x), F.col("a2") + F.col(y)
-        return F.greatest(one, two) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(one - two)))
 
-    ratio = F.round(1 / (1 + F.pow(F.lit(10.0), F.least(like("b1", "b2") - like("b2", "b1"), F.lit(300.0)))), 4)
+def trans_likelihood(calls: DataFrame, haplotype: DataFrame) -> DataFrame:
+    """``frag_id`` and ``ll``, the log10 likelihood of fragments of two mates that see different haplotypes at the rate of
+    their insert-size bin. There is one rate per bin."""
+    rates = trans_rates(calls, haplotype).select(F.col("bin").alias("_bin"), "rate")
+    rows = _both_cases(calls, haplotype).join(rates, F.floor(F.abs("isize") / TRANS_BIN) == F.col("_bin"))
+    return rows.select("frag_id", log_sum(F.log10(1 - F.col("rate")) + F.col("cis"), F.log10("rate") + F.col("trans")).alias("ll"))
+
+
+def trans_rates(calls: DataFrame, haplotype: DataFrame, halvings: int = 40) -> DataFrame:
+    """``bin``, ``n`` and ``rate``: for fragments of two mates (frag_id, isize, second, varid, allele, qv), how often the
+    mates see different haplotypes, per insert-size bin.
+
+    The log likelihood of a fragment with both mates on one haplotype, and on different ones, is summed per fragment, so
+    that long fragments do not underflow. Fragments are reduced to the rounded share of the latter; the slope of a bin's
+    likelihood falls with the rate, so its maximum is enclosed by ``halvings`` halvings over few rows per bin.
+    """
+    both = _both_cases(calls, haplotype)
+    ratio = F.round(1 / (1 + F.pow(F.lit(10.0), F.least(F.col("cis") - F.col("trans"), F.lit(300.0)))), 4)
     weights = both.groupBy(F.floor(F.abs("isize") / TRANS_BIN).alias("bin"), ratio.alias("t")).agg(F.count("*").alias("n"))
     lists = weights.groupBy("bin").agg(F.sum("n").alias("n"), F.collect_list(F.struct("t", "n")).alias("w"))  # at most 10,001 ratios a bin
     span = F.struct(F.lit(LOWEST).alias("lo"), F.lit(1 - LOWEST).alias("hi"))

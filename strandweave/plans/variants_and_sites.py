@@ -104,9 +104,9 @@ def variant_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.linkage(views.calls(spark, sf_dir)).withColumn("r2", F.round("r2", 6))
 
 
-def trans_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rate of distant mates on different haplotypes, per insert-size bin, under the haplotype of the genotype text."""
-    rows = (
+def distant_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of fragments of distant mates: frag_id, isize, second (of the second mate), varid, allele and qv."""
+    return (
         read_table(spark, sf_dir, "hapfragments")
         .filter((F.col("dtype") == 1) & (F.col("mate2_ix") >= 0) & F.col("frag_id").isNotNull())
         .select("frag_id", "mate2_ix", "isize", F.explode("alist").alias("c"))
@@ -114,7 +114,11 @@ def trans_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("frag_id", "isize", (F.col("c.varid") >= F.col("mate2_ix")).alias("second"), "c.varid", F.col("c.allele").cast("int").alias("allele"), "c.qv")
         .distinct()
     )
-    return linkage.trans_rates(rows, haplotypes._fixed(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
+def trans_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of distant mates on different haplotypes, per insert-size bin, under the haplotype of the genotype text."""
+    return linkage.trans_rates(distant_calls(spark, sf_dir), haplotypes._fixed(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
 
 
 QUERIES = {

@@ -10,7 +10,7 @@ from strandweave.operators.fragments import merge_mates
 from strandweave.operators.sites import latest
 from strandweave.session import read_table
 
-READ_COLUMNS = ["read_id", "loaded_at", "chrom", "position", "flag", "mapq", "cigar", "mate_chrom", "mate_position", "insert_size", "span", "meth_state", "seq"]
+READ_COLUMNS = ["read_id", "loaded_at", "chrom", "position", "flag", "mapq", "cigar", "mate_chrom", "mate_position", "insert_size", "span", "meth_state", "seq", "qual"]
 
 
 def reads(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
