@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from strandweave.operators.intervals import attach
 from strandweave.operators.rangejoin import bin_join, previous, running_total
-from strandweave.session import cut_lineage
+from strandweave.session import cut_counted, cut_lineage
 
 _SMALL = [math.lgamma(i + 1) for i in range(64)]
 TIE = 1e-7
 CHAIN_BIN = 1 << 18
 P_BUCKET = 1 << 18
+TABLES_BROADCAST = 200_000
 
 
 def next_site_pairs(sites: DataFrame, bin_width: int = 1 << 18) -> DataFrame:
@@ -43,7 +44,8 @@ def pair_counts(pairs: DataFrame, calls: DataFrame) -> DataFrame:
     ends = pairs.select("chrom", "strand", F.col("c1").alias("pos"), "c2").unionByName(
         pairs.select("chrom", "strand", F.col("c2").alias("pos"), F.lit(None).cast("long").alias("c2"))
     )
-    sites = ends.groupBy("chrom", "strand", "pos").agg(F.max("c2").alias("c2"))
+    # written: what is joined with the calls is then known by its size, and small ones are broadcast
+    sites = cut_lineage(ends.groupBy("chrom", "strand", "pos").agg(F.max("c2").alias("c2")))
     w = Window.partitionBy("read_id").orderBy("pos")
     seen = calls.select("read_id", "chrom", "strand", "pos", F.col("methylated").alias("m1")).join(sites, ["chrom", "strand", "pos"])
     both = seen.withColumns({"_at": F.lead("pos").over(w), "m2": F.lead("m1").over(w)}).filter(F.col("_at") == F.col("c2"))
@@ -76,14 +78,25 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.least(F.lit(1.0), F.aggregate(F.sequence(lo, hi), F.lit(0.0), add))
 
 
-def adjust_p(df: DataFrame, p: str = "p", bucket: int = P_BUCKET) -> DataFrame:
-    """``df`` with ``q``, p adjusted for the false discovery rate over all rows. Rows without a p are left out.
+def test_pairs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``p`` of the exact test and ``q``, adjusted over all of them. Equal tables are tested and adjusted once,
+    with their number of pairs as weight, and joined back: by broadcast up to ``TABLES_BROADCAST`` of them."""
+    four = ["mm", "mu", "um", "uu"]
+    pairs = cut_lineage(pairs)
+    tables = pairs.groupBy(*four).agg(F.count("*").alias("_w")).withColumn("p", fisher_exact(*[F.col(x) for x in four]))
+    tables, seen = cut_counted(adjust_p(tables, "p", weight="_w").drop("_w"), n=F.count("*"))
+    return pairs.join(F.broadcast(tables) if seen["n"] <= TABLES_BROADCAST else tables, four)
+
+
+def adjust_p(df: DataFrame, p: str = "p", bucket: int = P_BUCKET, weight: str | None = None) -> DataFrame:
+    """``df`` with ``q``, p adjusted for the false discovery rate over all rows, or, if a row stands for ``weight`` equal ones, over
+    those. Rows without a p are left out.
 
     Equal p values are counted first. The different ones are put into ranges of about ``bucket`` and ordered within each; ranks
     and least values are carried over on one row per range, so no task orders all of them. p is not rounded.
     """
     df = cut_lineage(df)  # read twice, computed once
-    counts = cut_lineage(df.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n")).filter(F.col("_p").isNotNull()))
+    counts = cut_lineage(df.groupBy(F.col(p).alias("_p")).agg(F.sum(weight if weight else F.lit(1)).alias("_n")).filter(F.col("_p").isNotNull()))
     n, total = counts.agg(F.count("*"), F.sum("_n")).first()
     parts = max(1, -(-n // bucket))
     ranged = cut_lineage(counts.repartitionByRange(parts, "_p").withColumn("_b", F.spark_partition_id())) if parts > 1 else counts.withColumn("_b", F.lit(0))

@@ -100,7 +100,7 @@ def next_site_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of neighbouring called sites; a site needs calls in two reads at least."""
     calls = cut_lineage(views.base_calls(spark, sf_dir))
-    sites = calls.groupBy("chrom", "strand", "pos").agg(F.count("*").alias("cov")).filter(F.col("cov") >= 2)
+    sites = cut_lineage(calls.groupBy("chrom", "strand", "pos").agg(F.count("*").alias("cov")).filter(F.col("cov") >= 2))
     return association.pair_counts(association.next_site_pairs(sites), calls)
 
 
@@ -109,8 +109,7 @@ def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = association.fisher_exact(*[F.col(x) for x in ("mm", "mu", "um", "uu")])
-    return association.adjust_p(_pairs(spark, sf_dir).withColumn("p", p))
+    return association.test_pairs(_pairs(spark, sf_dir))
 
 
 def pair_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +126,12 @@ LOOSE = {"most_p": 1.0, "depth": (2, 1000), "sites": 3}  # single-site coverage
 
 
 def asm_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return association.allele_specific_regions(cut_lineage(_tested(spark, sf_dir)), **LOOSE)
+    return association.allele_specific_regions(_tested(spark, sf_dir), **LOOSE)
 
 
 def asm_regions_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions under the operator's own limits; few or none where coverage is low."""
-    return association.allele_specific_regions(cut_lineage(_tested(spark, sf_dir)))
+    return association.allele_specific_regions(_tested(spark, sf_dir))
 
 
 def states_folded(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,14 @@ def test_adjusted_p_of_small_values(spark, bucket):
     assert {r.i: r.p for r in rows} == dict(enumerate(p))
     for r in rows:
         assert r.q == pytest.approx(min(1.0, *[x * len(p) / sum(y <= x for y in p) for x in p if x >= r.p]), rel=1e-12)
+
+
+def test_equal_tables_are_adjusted_as_many(spark):
+    rnd = random.Random(3)
+    rows = [("c", "+", i, i + 1, *(rnd.choice([0, 1, 2, 9]) for _ in range(4))) for i in range(80)]
+    df = spark.createDataFrame(rows, "chrom string, strand string, c1 long, c2 long, mm long, mu long, um long, uu long")
+    one = {r.c1: (r.p, r.q) for r in a.test_pairs(df).collect()}
+    p = df.withColumn("p", a.fisher_exact(*[F.col(c) for c in ("mm", "mu", "um", "uu")]))
+    two = {r.c1: (r.p, r.q) for r in a.adjust_p(p).collect()}
+    assert len(one) == 80 and all(one[k] == pytest.approx(two[k]) for k in two)
+    assert a.test_pairs(df.limit(0)).count() == 0
