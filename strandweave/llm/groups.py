@@ -168,15 +168,18 @@ def _stars(edges: DataFrame, n: int) -> DataFrame:
         seen, n = now, now["n"]
 
 
-def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 12, keep: float = 0.7) -> DataFrame:
+def connected_groups(
+    edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 12, keep: float = 0.7, core: float = 0.2
+) -> DataFrame:
     """``group_id`` and ``member`` of every record with a link to another one; ``group_id`` is the least member.
 
     Repeated links, links in both directions, links of a record to itself and null ends change nothing; an empty input
-    gives an empty result. Rounds of stripping and compressing end when one leaves more than ``keep`` of the edges.
+    gives an empty result. Rounds of stripping and compressing end when one leaves more than ``keep`` of the edges, or at
+    most ``core`` of those at the start, of which the stars then take less work than another round.
     """
     edges, seen = cut_counted(_canonical(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")), "a", "b"), n=F.count("*"))
     attached: list[DataFrame] = []
-    n = seen["n"]
+    n = start = seen["n"]
     for _ in range(max_rounds):
         if not n:
             break
@@ -185,7 +188,7 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: i
         release(old)
         inside, edges, n = _compress(edges, n)
         attached += [x for x in (leaves, inside) if x is not None]
-        if n > keep * before:
+        if n > keep * before or n <= core * start:
             break
     table = _stars(edges, n) if n else edges
     labels = table.select(F.col("w").alias("v"), F.col("u").alias("root"))

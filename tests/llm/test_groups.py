@@ -44,11 +44,11 @@ def shapes():
     return edges
 
 
-@pytest.mark.parametrize("keep", [0.7, 0.0])
-def test_all_shapes(spark, keep):
+@pytest.mark.parametrize("keep,core", [(0.7, 0.2), (0.95, 0.0), (0.0, 0.2)])
+def test_all_shapes(spark, keep, core):
     edges = shapes()
     df = spark.createDataFrame([(a, b, "x") for a, b in edges], "a long, b long, group_id string")
-    got = sorted(tuple(r) for r in groups.connected_groups(df, keep=keep).collect())
+    got = sorted(tuple(r) for r in groups.connected_groups(df, keep=keep, core=core).collect())
     assert got == brute(edges)
 
 
