@@ -136,7 +136,18 @@ _COUNTING = """v AS (SELECT row_id, chr, upper(trim(context)) AS context, covera
   x AS (SELECT row_id, 'coverage' AS field_name, chr, context, coverage::DOUBLE AS value FROM v WHERE coverage >= 0
     UNION ALL SELECT row_id, 'methlevel', chr, context, methlevel FROM v WHERE methlevel >= 0 AND methlevel <= 1 AND NOT isnan(methlevel))"""
 
+# Labels spread over links to greater ids only: from the least member of a group on, they reach all of it.
+_GROUPS = """r AS (SELECT a AS v, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.v WHERE e.b > r.g),
+  found AS (SELECT min(g) AS group_id, v AS varid FROM r GROUP BY v)"""
+_LINKS = """k AS (SELECT coalesce('id ' || frag_id, to_json(alist)::VARCHAR) AS f, unnest(alist) AS c FROM hapfragments),
+  m AS (SELECT DISTINCT f, c.varid AS v FROM k WHERE c.allele IN ('0', '1') AND c.varid IN (SELECT varid FROM readvariant)
+    UNION ALL SELECT DISTINCT 'block ' || blocks, varid FROM readvariant WHERE blocks <> 0 AND varid IS NOT NULL),
+  s AS (SELECT v, min(v) OVER (PARTITION BY f) AS h FROM m), e AS (SELECT v AS a, h AS b FROM s WHERE v <> h UNION SELECT h, v FROM s WHERE v <> h)"""
+
 SQL = {
+    "p2_found": f"WITH RECURSIVE {_LINKS}, {_GROUPS} SELECT group_id, varid FROM found",
+    "p2_group_sizes": f"""WITH RECURSIVE {_LINKS}, {_GROUPS}, n AS (SELECT count(*) AS n_members FROM found GROUP BY group_id)
+      SELECT n_members, count(*) AS n_groups FROM n GROUP BY n_members""",
     "p3_found": f"""WITH {_COUNTING}, m AS (SELECT field_name, chr, context, quantile_disc(value, 0.5) AS med FROM x
       GROUP BY ALL HAVING count(*) >= {CASE_ROWS})
     SELECT row_id, x.field_name FROM x JOIN m ON x.field_name = m.field_name AND x.chr = m.chr AND x.context = m.context
