@@ -99,18 +99,18 @@ def read_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads at single-base variants: read_id, varid, vpos, base, quality and allele (0, 1 or null)."""
+    """Reads at single-base variants: read_id, strand, varid, vpos, base, quality and allele (0, 1 or null)."""
     v = haplotypes._variants(spark, sf_dir).filter((F.length("ref_allele") == 1) & (F.length(F.substring_index("alt_allele", ",", 1)) == 1))
     points = v.select("chrom", F.col("position").cast("long").alias("vpos"), "varid", F.upper("ref_allele").alias("ref"), F.upper(F.substring_index("alt_allele", ",", 1)).alias("alt"))
-    rows = views.reads(spark, sf_dir, ["cigar", "seq", "qual", "mapq"]).select("read_id", "chrom", "mapq", "start_pos", "seq", "qual", F.explode(fr.aligned_blocks(F.col("cigar"))).alias("b"))
+    rows = views.reads(spark, sf_dir, ["cigar", "seq", "qual", "mapq"]).select("read_id", "chrom", "strand", "mapq", "start_pos", "seq", "qual", F.explode(fr.aligned_blocks(F.col("cigar"))).alias("b"))
     part = lambda c: F.expr(f"substring({c}, b.read_at + 1, b.len)")
     start = F.col("start_pos") + F.col("b.ref_at")
-    blocks = rows.select("read_id", "chrom", "mapq", start.alias("s"), (start + F.col("b.len") - 1).alias("e"), part("seq").alias("bases"), part("qual").alias("quals"))
+    blocks = rows.select("read_id", "chrom", "strand", "mapq", start.alias("s"), (start + F.col("b.len") - 1).alias("e"), part("seq").alias("bases"), part("qual").alias("quals"))
     at = "cast(vpos - s as int) + 1, 1)"
     met = rangejoin.bin_join(points, blocks, ["chrom"], "vpos", "s", "e", 500)
     base = F.upper(F.expr(f"substring(bases, {at}"))
     quality = F.least(F.ascii(F.expr(f"substring(quals, {at}")) - 33, F.col("mapq"))
-    return met.select("read_id", "varid", "vpos", "mapq", base.alias("base"), quality.alias("qv"), F.when(base == F.col("ref"), 0).when(base == F.col("alt"), 1).alias("allele"))
+    return met.select("read_id", "strand", "varid", "vpos", "mapq", base.alias("base"), quality.alias("qv"), F.when(base == F.col("ref"), 0).when(base == F.col("alt"), 1).alias("allele"))
 
 
 def read_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +194,7 @@ QUERIES = {
 _ALLELES = f"""{views.CALLS}, v AS (SELECT varid, chrom, position AS vpos, upper(ref_allele) AS ref, upper(split_part(alt_allele, ',', 1)) AS alt FROM readvariant
     WHERE varid IS NOT NULL AND chrom IS NOT NULL AND position IS NOT NULL AND length(ref_allele) = 1 AND length(split_part(alt_allele, ',', 1)) = 1),
   sq AS (SELECT read_id AS id, seq, qual, mapq FROM reads),
-  al AS (SELECT read_id, varid, vpos, mapq, upper(seq[read_at + (vpos - start_pos - ref_at) + 1]) AS base, least(ascii(qual[read_at + (vpos - start_pos - ref_at) + 1]) - 33, mapq) AS qv, ref, alt
+  al AS (SELECT read_id, strand, varid, vpos, mapq, upper(seq[read_at + (vpos - start_pos - ref_at) + 1]) AS base, least(ascii(qual[read_at + (vpos - start_pos - ref_at) + 1]) - 33, mapq) AS qv, ref, alt
     FROM v JOIN blk ON blk.chrom = v.chrom AND op = 'M' AND vpos BETWEEN start_pos + ref_at AND start_pos + ref_at + len - 1 JOIN sq ON sq.id = blk.read_id),
   ale AS (SELECT *, CASE WHEN base = ref THEN 0 WHEN base = alt THEN 1 END AS allele FROM al)"""
 _HET = "mc >= 2 AND cov >= 6 AND mc / cov >= 0.1 AND mc / cov <= 0.9 AND mc > 2 AND cov - mc > 2"
